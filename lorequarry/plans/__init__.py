@@ -1 +1 @@
-
+"""Whole queries over the test tables, with SQL that gives the same rows."""

@@ -1 +1 @@
-
+"""Readers, writers and interfaces to outside services."""
