@@ -17,7 +17,7 @@ SECTIONS = (
 ENTITIES = "arxiv_id string, title string, authors array<string>, methods_proposed array<string>, methods_criticized array<string>, topics array<string>"
 CANDIDATE = "struct<author_id:string,display_name:string,institution:string,works:int,score:double,top_5_works:array<string>>"
 CALL_LOG = "timestamp string, stage string, model string, input_tokens bigint, output_tokens bigint, cost double, cache_hit boolean, n_items int"
-GOLD = "struct<question:string,relevant_chunks:array<string>,relevant_papers:array<string>,expected_answer_keywords:array<string>>"
+GOLD = "question string, relevant_chunks array<string>, relevant_papers array<string>"
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,8 +44,8 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     underscore and blank questions are dropped; blank ids too."""
     text = spark.read.format("text").option("wholetext", True).load(path)
     rows = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("query_id", "raw")).where("query_id not like '\\\\_%'")
-    parsed = rows.select("query_id", F.from_json("raw", GOLD[7:-1].replace(":array", " array").replace(":string", " string")).alias("g"))
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    parsed = rows.select("query_id", F.from_json("raw", GOLD).alias("g"))
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return parsed.where(F.trim(F.coalesce("g.question", F.lit(""))) != "").select(
         "query_id", F.trim("g.question").alias("question"), clean(F.col("g.relevant_chunks")).alias("relevant_chunks"), clean(F.col("g.relevant_papers")).alias("relevant_papers")
     )
