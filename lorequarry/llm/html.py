@@ -53,6 +53,8 @@ BOILERPLATE = frozenset(
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended pagination pager "
     "toolbar widget complementary contentinfo search alert disclaimer replies respond".split()
 )
+#: Words that say of a part that it lacks, or lies beside, what the next word names.
+BESIDE = frozenset("no with without has non is not after before".split())
 #: Elements that a name cannot turn into boilerplate.
 NEVER_BOILERPLATE = frozenset("html body article main".split())
 
@@ -90,8 +92,10 @@ def _is_boilerplate(tag: str, attributes: str, inside: set[str]) -> bool:
         return True
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        if not BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
+        for name in value.split():
+            words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+            if any(w in BOILERPLATE and not BESIDE.intersection(words[:k]) for k, w in enumerate(words)):
+                return True
     return False
 
 

@@ -183,6 +183,7 @@ def test_distance(spark):
         ("<body><nav><a href=x>menu</a></nav><article><h1>T</h1><p>One  two<br>three<p>Four &copy; <b>five</b></article><footer>f</footer>", "T\nOne two three\nFour © five"),
         ("<body><div class='sidebar'>aside words here</div><div><p>The long main text of the page, which goes on.</p><p>And on.</p></div></body>", "The long main text of the page, which goes on.\nAnd on."),
         ("<article><p>Body text that is here.</p><div id=comments><p>I disagree with all of it!</p></div><script>if (a<b) x('</p>')</script></article>", "Body text that is here."),
+        ("<div class='content no-sidebar'><p>Text beside no sidebar, long enough.</p></div><div class='cookieNotice'>We use cookies a lot.</div>", "Text beside no sidebar, long enough."),
         ("<article><p>unclosed <i>tags <b>everywhere<ul><li>a<li>b</ul>tail", "unclosed tags everywhere\na\nb\ntail"),
     ],
 )
