@@ -211,9 +211,9 @@ ORACLE_SQL = {
         CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS i, 7 AS o FROM documents),
       priced AS (SELECT *, (i * 0.15::DOUBLE + o * 0.6::DOUBLE) / 1e6 AS full_cost FROM calls)
       SELECT coalesce(stage, 'TOTAL') AS stage, CAST(grouping(stage) AS INTEGER) AS is_total, count(*) AS calls, CAST(sum(i + o) AS BIGINT) AS tokens,
-        round(sum(CASE WHEN hit THEN 0.0::DOUBLE ELSE round(full_cost, 8) END), 6) AS cost, round(sum(full_cost), 6) AS cost_no_cache,
+        round(sum(CASE WHEN hit THEN 0.0::DOUBLE ELSE round(full_cost, 8) END), 8) AS cost, round(sum(full_cost), 8) AS cost_no_cache,
         count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(100.0::DOUBLE * count(*) FILTER (WHERE hit) / count(*), 4) AS hit_ratio,
-        round(sum(full_cost) - sum(CASE WHEN hit THEN 0.0::DOUBLE ELSE round(full_cost, 8) END), 6) AS savings FROM priced GROUP BY ROLLUP (stage)""",
+        round(sum(full_cost) - sum(CASE WHEN hit THEN 0.0::DOUBLE ELSE round(full_cost, 8) END), 8) AS savings FROM priced GROUP BY ROLLUP (stage)""",
     "recall_at_k": f"""WITH near AS (SELECT query_id, label, min(rank) AS rank FROM ({_near(10)}) GROUP BY ALL),
       gold AS (SELECT query_id, unnest([mine, (mine + 1) % 10]) AS label FROM ({_QUESTIONS}) WHERE mine % 2 = 0)
       SELECT q.query_id, r.a AS recall_at_5, r.b AS recall_at_10 FROM ({_QUESTIONS}) q LEFT JOIN (

@@ -352,9 +352,10 @@ def _call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = costs.aggregate(_call_log(spark, sf_dir))
+    # Eight places, as the log has: sums are multiples of 1e-8, so no digit after hangs on the order of adding.
     return found.select(
-        F.coalesce("stage", F.lit("TOTAL")).alias("stage"), "is_total", "calls", "tokens", F.round("cost", 6).alias("cost"), F.round("cost_no_cache", 6).alias("cost_no_cache"),
-        "hits", "misses", F.round("hit_ratio", 4).alias("hit_ratio"), F.round("savings", 6).alias("savings"),
+        F.coalesce("stage", F.lit("TOTAL")).alias("stage"), "is_total", "calls", "tokens", F.round("cost", 8).alias("cost"), F.round("cost_no_cache", 8).alias("cost_no_cache"),
+        "hits", "misses", F.round("hit_ratio", 4).alias("hit_ratio"), F.round("savings", 8).alias("savings"),
     )
 
 
