@@ -20,11 +20,9 @@ from lorequarry.functions.text import (
     clean_text, distinct_ignoring_case, longest_label, name_labels, strip_version, tiered_name_score, title_score, year_from_paper_id,
 )
 from lorequarry.operators.filters import year_ok
-from lorequarry.operators.ranking import first_per_key
+from lorequarry.operators.ranking import first_per_key, meet
 
 NODE_COLUMNS = "kind string, id string, name string, aliases array<string>, institution string, title string, year int, seq bigint"
-#: Labels of a graph that are few enough to meet a query's names by broadcast.
-LABEL_LIMIT = 200_000
 
 
 def edge(src_kind: str, src: Column, relation: str, dst_kind: str, dst: Column, seq: Column) -> list[Column]:
@@ -146,10 +144,10 @@ def labels(nodes: DataFrame, kind: str) -> DataFrame:
 def match_names(queries: DataFrame, labelled: DataFrame, least: float = NAME_MATCH) -> DataFrame:
     """``query, id, score, seq`` of the nodes whose best label reaches ``least``.
 
-    ``queries`` (``query``) are a stated set and are broadcast; each label is scored
-    against each of them, cheap tiers first.
+    ``queries`` (``query``) are a stated set, taken in blocks that are broadcast; each
+    label is scored against each of them, cheap tiers first.
     """
-    met = labelled.crossJoin(F.broadcast(queries.select("query").distinct()))
+    met = meet(labelled, queries.select("query").distinct(), "query")
     scored = met.withColumn("score", tiered_name_score(F.col("query"), F.col("label"))).where(F.col("score") >= least)
     return scored.groupBy("query", "id").agg(F.max("score").alias("score"), F.min("seq").alias("seq"))
 
@@ -263,16 +261,16 @@ def rank_by_signals(entities: DataFrame, nodes: DataFrame, edges: DataFrame) ->
         met("method", "method").join(about[CRITICISES], "id").select("query_id", "paper_id", F.lit(CRITICISES_POINTS).alias("points")),
         met("method", "method").join(about[PROPOSES], "id").select("query_id", "paper_id", F.lit(PROPOSES_POINTS).alias("points")),
         *(topic_methods.join(a, "id").select("query_id", "paper_id", F.lit(TOPIC_METHOD_POINTS).alias("points")) for a in about.values()),
-        papers.crossJoin(F.broadcast(topics)).where(title_score(F.col("query"), F.col("title")) >= TITLE_MIN)
+        meet(papers, topics, "query_id").where(title_score(F.col("query"), F.col("title")) >= TITLE_MIN)
         .select("query_id", "paper_id", F.lit(TOPIC_TITLE_POINTS).alias("points")),
     ]
     bounds = entities.select("query_id", "year_min")
     gated = (
-        reduce(DataFrame.unionByName, signals).join(papers, "paper_id").join(F.broadcast(bounds), "query_id")
+        reduce(DataFrame.unionByName, signals).join(papers, "paper_id").join(bounds, "query_id")
         .where(year_ok(F.col("year"), F.col("year_min")))
     )
     by_year = entities.where("author_name is null and method is null and topic is null and year_min is not null").select("query_id", "year_min")
-    fallback = papers.crossJoin(F.broadcast(by_year)).where("year >= year_min").select("query_id", "paper_id", "year", F.lit(YEAR_POINTS).alias("points"))
+    fallback = meet(papers, by_year, "query_id").where("year >= year_min").select("query_id", "paper_id", "year", F.lit(YEAR_POINTS).alias("points"))
     every = gated.select("query_id", "paper_id", "year", "points").unionByName(fallback)
     return every.groupBy("query_id", F.col("paper_id").alias("doc_id")).agg(F.sum("points").cast("bigint").alias("score"), F.max("year").alias("year"))
 

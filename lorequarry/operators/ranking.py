@@ -6,6 +6,8 @@ nothing depends on the order of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return numbered.where(F.col(rank) <= n)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """All rows of each group, with their rank."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+#: Rows of a stated set that meet all rows of a table in one pass.
+ASKED_A_BLOCK = 1000
+
+
+def in_blocks(asked: DataFrame, key: str, size: int = ASKED_A_BLOCK) -> list[DataFrame]:
+    """A stated set in parts of about ``size`` rows, each small enough to broadcast."""
+    n = max(1, -(-asked.count() // size))
+    return [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def meet(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """All rows with each row of a stated set."""
+    return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(block)) for block in in_blocks(asked, key)))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_group(df, keys, order, 1, "_first").drop("_first")
 

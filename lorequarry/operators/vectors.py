@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 
 from lorequarry.config import CANDIDATES, EMBED_BATCH, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions.text import content_key
-from lorequarry.operators.ranking import top_per_group
-
-#: Questions that meet the collection in one pass.
-QUESTIONS_A_BLOCK = 1000
+from lorequarry.operators.ranking import ASKED_A_BLOCK, in_blocks, top_per_group
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -43,6 +40,7 @@ def top_k(
     where: Column | None = None,
     id_col: str = "chunk_id",
     exclude_self: bool = False,
+    block_size: int = ASKED_A_BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``collection`` (``id_col, embedding, ...``) for each
     of ``questions`` (``query_id, embedding``): ``query_id``, the row, ``distance``
@@ -52,7 +50,6 @@ def top_k(
     kept = [c for c in rows.columns if c != "embedding"]
     side = rows.select(*kept, F.col("embedding").alias("_v"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("_n"))
     asked = questions.select("query_id", F.col("embedding").alias("_q"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
-    n_blocks = -(-questions.count() // QUESTIONS_A_BLOCK)
 
     def search(block: DataFrame) -> DataFrame:
         met = side.crossJoin(F.broadcast(block))
@@ -63,10 +60,7 @@ def top_k(
         order = [F.col("distance").asc_nulls_last(), F.col(id_col).asc()]
         return top_per_group(measured, ["query_id"], order, k)
 
-    if n_blocks <= 1:
-        return search(asked)
-    blocks = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    return reduce(DataFrame.unionByName, map(search, blocks))
+    return reduce(DataFrame.unionByName, map(search, in_blocks(asked, "query_id", block_size)))
 
 
 def over_fetch(hits: DataFrame, keep: Column, k: int = TOP_K) -> DataFrame:

@@ -87,7 +87,7 @@ def metadata_hits(collection: DataFrame, questions: DataFrame, asked: DataFrame,
         rows = collection.withColumnRenamed("document", "text")
         near = vectors.top_k(rows, questions.join(same.select("query_id"), "query_id"), max(k, candidates), filters.build_where(f.year_min, f.year_max, f.section))
         needles = same.select("query_id", F.col("authors").alias("needles"))
-        met = near.join(F.broadcast(needles), "query_id")
+        met = near.join(needles, "query_id")
         keep = (F.size("needles") == 0) | filters.author_matches(F.col("authors"), F.col("needles"))
         hits = vectors.over_fetch(met, keep, k).drop("needles", "fetched_rank")
         out = hits if out is None else out.unionByName(hits)
@@ -97,7 +97,7 @@ def metadata_hits(collection: DataFrame, questions: DataFrame, asked: DataFrame,
 def hybrid_rankings(questions: DataFrame, entities: DataFrame, nodes: DataFrame, edges: DataFrame, collection: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph's ranking, the vectors' ranking of papers, and the chunks behind it."""
     scored = graph.rank_by_signals(entities, nodes, edges)
-    by_graph = ranking.top_per_group(scored, ["query_id"], ranking.graph_order("score", "year", "doc_id"), 1 << 30).select("query_id", "doc_id", "rank")
+    by_graph = ranking.ranked(scored, ["query_id"], ranking.graph_order("score", "year", "doc_id")).select("query_id", "doc_id", "rank")
     chunks = _search(collection, questions, VECTOR_CHUNKS).withColumnRenamed("arxiv_id", "doc_id")
     return by_graph, vectors.collapse_to_papers(chunks).select("query_id", "doc_id", "rank"), chunks
 

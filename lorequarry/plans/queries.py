@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lorequarry.config import CHAT_MODEL, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions import tei, text
 from lorequarry.operators import chunking, costs, evaluate, filters, graph, ranking, resolve, vectors
+from lorequarry.scratch import spool
 from lorequarry.sources import readers, writers
 
 #: Every twentieth vector asks a question.
@@ -71,7 +72,7 @@ def _attribute_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
     asked = own.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("mine"))
     every = own.select("label").distinct()
-    apart = asked.crossJoin(F.broadcast(every)).select("query_id", F.col("label").cast("string").alias("doc_id"), F.abs(F.col("label") - F.col("mine")).alias("gap"))
+    apart = ranking.meet(every, asked, "query_id").select("query_id", F.col("label").cast("string").alias("doc_id"), F.abs(F.col("label") - F.col("mine")).alias("gap"))
     return ranking.top_per_group(apart, ["query_id"], [F.col("gap"), F.col("doc_id")], 6).select("query_id", "doc_id", "rank")
 
 
@@ -149,6 +150,12 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.build(_entities(spark, sf_dir), mapping, years)
 
 
+def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph written once and read back, as questions about it would find it."""
+    nodes, edges = _graph(spark, sf_dir)
+    return spool(nodes, "nodes"), spool(edges, "edges")
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = _graph(spark, sf_dir)
     return nodes.select("kind", "id", F.coalesce("name", F.lit("")).alias("name"), F.array_join("aliases", "|").alias("aliases"), F.coalesce("institution", F.lit("")).alias("institution"), "title", "year")
@@ -167,30 +174,30 @@ def _authors(nodes: DataFrame) -> DataFrame:
 
 
 def author_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     return graph.author_papers(_authors(nodes), nodes, edges)
 
 
 def author_institution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     return graph.author_institutions(_authors(nodes), nodes, edges)
 
 
 def papers_criticizing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     asked = spark.createDataFrame([("brand#13",), ("Brand",), ("nothing like it",)], "query string")
     return graph.papers_criticising(asked, nodes, edges)
 
 
 def coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     found = graph.coauthors(_authors(nodes), edges)
     return found.select("author_id", "coauthor_id", F.size("papers").cast("bigint").alias("n_papers"), F.array_join("papers", ",").alias("papers"))
 
 
 def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers of the coauthors of the author with id A7, without that author's own."""
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     asked = spark.createDataFrame([("A7",)], "query string")
     found = graph.find_authors(asked, nodes).select(F.col("id").alias("author_id"))
     return graph.coauthor_papers(found, nodes, edges).select("author_id", "paper_id", "year").distinct()
@@ -204,7 +211,7 @@ def _asked_entities(spark: SparkSession) -> DataFrame:
 
 
 def graph_signal_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _stored_graph(spark, sf_dir)
     return graph.rank_by_signals(_asked_entities(spark), nodes, edges)
 
 
@@ -218,7 +225,7 @@ def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct part name against a stated set of four."""
     asked = spark.createDataFrame([("red bolt",), ("bolt red",), ("Blue gears",), ("sma",)], "query string")
-    return _part_names(spark, sf_dir).crossJoin(F.broadcast(asked))
+    return ranking.meet(_part_names(spark, sf_dir), asked, "query")
 
 
 def name_match_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
