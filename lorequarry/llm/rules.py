@@ -35,6 +35,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
 
+#: Most languages whose references are broadcast (under 1 KB each).
+BROADCAST_LANGUAGES = 1000
 #: Up to so many repeated hashes, a text's windows look themselves up one by one.
 SHORT_LIST = 64
 
@@ -206,8 +208,15 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
 
 def _distances(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with both distances; 0 where a text is too short or has no reference."""
-    joined = rows.drop("class_distance", "common_distance").join(found, "lang", "left")
+    """``rows`` with both distances; 0 where a text is too short or has no reference.
+
+    The references have a row for each language.  Their number is counted: few of
+    them are broadcast, as a language may hold most rows; otherwise the rows are
+    shuffled, and a hot language is left to the skew handling of the join.
+    """
+    found = spool(found, "rule-references")
+    side = F.broadcast(found) if found.count() <= BROADCAST_LANGUAGES else found
+    joined = rows.drop("class_distance", "common_distance").join(side, "lang", "left")
     classes = F.when(F.col("n_chars") >= MIN_CHARS_FOR_CLASSES, js_distance(F.col("classes"), F.col("class_reference")))
     common = F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, js_distance(F.col("common"), F.col("common_reference")))
     return joined.select(
