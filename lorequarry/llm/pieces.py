@@ -143,7 +143,7 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        self._solve({c for chunks in chunked for c in chunks} - known.keys())
+        self._solve({c for chunks in chunked for c in chunks}.difference(known))
         return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in chunked]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -83,7 +83,7 @@ class Featurizer:
         words = text.split()
         counts = Counter(words)
         known = self.bucket
-        for w in counts.keys() - known.keys():
+        for w in set(counts).difference(known):
             known[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS
         ids = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
         sums = np.bincount(ids, np.fromiter(counts.values(), np.float64, len(counts)), BUCKETS) if len(ids) else np.zeros(BUCKETS)
