@@ -1,5 +1,6 @@
 import corpus_pipeline
-from lorequarry.llm import decontaminate, quality, rules, simhash
+from lorequarry.llm import decontaminate, quality, rules
+from test_jaccard import slow_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,8 +15,11 @@ def test_stages_by_brute_force(spark):
     ruled = corpus_pipeline.apply_rules(spark, classified, SF)
     assert {r.doc_id for r in ruled.collect()} == {r.doc_id for r in rules.judge(classified).collect() if r.kept}
     single = corpus_pipeline.drop_near_duplicates(spark, ruled, SF)
-    groups = simhash.near_duplicates(ruled).collect()
-    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in groups})
+    rows = sorted((r.doc_id, r.text) for r in ruled.collect())
+    firsts = {}
+    for (i, _), root in zip(rows, slow_components([t for _, t in rows]), strict=True):
+        firsts.setdefault(root, i)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(firsts.values())
     clean = corpus_pipeline.decontaminate_stage(spark, single, SF)
     leaked = {r.doc_id for r in decontaminate.find_leaks(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - leaked
