@@ -381,12 +381,23 @@ def test_the_next_class_is_a_distribution_and_causal():
     assert np.allclose(a[:25], b[:25]) and not np.allclose(a[25:], b[25:])
 
 
+def test_speller_spells_words_one_by_one():
+    spell = lm.Speller(lm.VOCABULARY)
+    words = [b"", b"the", "日本\u00a0語".encode(), b"", b"x" * 5000, "a\ud800b".encode("utf-8", "surrogatepass"), b"", b"unheard-of", b""]
+    for some in (words, [w for w in words if b"\xed\xa0" not in w], [b""], []):
+        ids, lengths = spell(some)
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+        assert len(lengths) == len(some) and at[-1] == len(ids)
+        for w, a, b in zip(some, at, at[1:]):
+            assert ids[a:b].tolist() == (spell._coder.encode_single_piece(b" " + w) if w else [lm.END_ID])
+
+
 def slow_lm_score(model, lex, count, text):
     """The score by its definition, word by word."""
     words, spell, total = [*lm.words_of(text), b""], lm.Speller(lm.VOCABULARY), 0.0
     units, lengths, target = [lm.START], [1], []
     for w in words:
-        ids = np.frombuffer(spell(w), np.uint16).astype(int)
+        ids = spell([w])[0].astype(int)
         z = int((lex.registers.log_prior + sum(lex.registers.log_unit[u] for u in lex.of_id[ids])).argmax())
         if w in lex.head:
             target.append(int(lex.klass[lex.head[w]]))
@@ -394,7 +405,7 @@ def slow_lm_score(model, lex, count, text):
         else:
             target.append(lm.FIRST_TAIL + z)
             spelling = sum(float(lex.log_id[i, z]) for i in ids)
-            total += lex.log_one[z] + math.log10(count[w]) if count[w] else lex.log_new[z] + spelling
+            total += lex.log_one[z] + math.log10(count[w] - 0.75) if count[w] else lex.log_new[z] + spelling
         units += list(lex.of_id[ids])
         lengths.append(len(ids))
     batch = lm.Batch(np.array(units[: sum(lengths[:-1])]), np.array(lengths[:-1]), np.zeros(len(words), int), np.array(target))
@@ -404,6 +415,7 @@ def slow_lm_score(model, lex, count, text):
 
 def test_lm_score_by_brute_force(spark, monkeypatch):
     texts = ["one two  three", "one two four", None, "", "Two three one " * 12, "one unheard-of two", "three seven"] * 2
+    texts += ["met once", "one more time", "one two seldom"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
     monkeypatch.setattr(lm, "BATCH_WORDS", 1)  # spans begin with their texts, as below
