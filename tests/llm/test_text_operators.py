@@ -327,9 +327,7 @@ def test_rules_are_mined_as_by_counting(spark):
 
 def random_batch(rng, sizes):
     n = sum(sizes)
-    lengths = rng.integers(1, 4, n)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    return lm.Batch(rng.integers(0, lm.UNITS + 2, lengths.sum()).astype(np.int16), lengths, text, rng.integers(0, lm.CLASSES, n))
+    return lm.Batch(rng.normal(0, 1, (n, lm.WIDTH)), np.repeat(np.arange(len(sizes)), sizes), rng.integers(0, lm.CLASSES, n))
 
 
 def random_model(rng, kind=np.float64):
@@ -338,12 +336,10 @@ def random_model(rng, kind=np.float64):
 
 def slow_log_probs(m, batch):
     """Word by word, in plain Python."""
-    p, out, reads, at = m.params, [], [], 0
-    for n in batch.lengths:
-        reads.append(sum(p["embed"][u] for u in batch.units[at : at + n]) / n)
-        at += n
+    p, out, reads = m.params, [], batch.read
     for i, read in enumerate(reads):
-        seen = [j for j in range(max(0, i // lm.SPAN * lm.SPAN - lm.SPAN), i + 1) if batch.text[j] == batch.text[i]]
+        first = list(batch.text).index(batch.text[i])
+        seen = range(max(first, first + (i - first) // lm.SPAN * lm.SPAN - lm.SPAN), i + 1)
         weights = [math.exp(min(30, read @ p["query"] @ (reads[j] @ p["key"]) / 4 + p["near"][i - j])) for j in seen]
         state = sum(w * (reads[j] @ p["value"]) for w, j in zip(weights, seen, strict=True)) / (1 + sum(weights)) + read @ p["own"]
         logits = state @ p["out"] + p["bias"]
@@ -361,7 +357,7 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     m, batch = random_model(rng), random_batch(rng, (1, 9, 20, 40))
     grads = m.gradients(batch)
-    for name, at in (("embed", (int(batch.units[3]), 2)), ("query", (1, 3)), ("key", (0, 5)), ("value", (2, 2)), ("near", (1,)), ("own", (5, 0)), ("out", (3, 4)), ("bias", (7,))):
+    for name, at in (("query", (1, 3)), ("key", (0, 5)), ("value", (2, 2)), ("near", (1,)), ("own", (5, 0)), ("out", (3, 4)), ("bias", (7,))):
         loss = []
         for e in (1e-4, -1e-4):
             m.params[name][at] += e
@@ -373,10 +369,9 @@ def test_gradients_are_those_of_the_loss():
 def test_the_next_class_is_a_distribution_and_causal():
     rng = np.random.default_rng(1)
     m, batch = random_model(rng), random_batch(rng, (40,))
-    total = sum(np.exp(m.log_probs(lm.Batch(batch.units, batch.lengths, batch.text, np.full(40, c)))) for c in range(lm.CLASSES))
+    total = sum(np.exp(m.log_probs(lm.Batch(batch.read, batch.text, np.full(40, c)))) for c in range(lm.CLASSES))
     assert np.allclose(total, 1, atol=1e-6)
-    cut = batch.lengths[:25].sum()
-    other = lm.Batch(np.where(np.arange(len(batch.units)) < cut, batch.units, 3), batch.lengths, batch.text, batch.target)
+    other = lm.Batch(np.where(np.arange(40)[:, None] < 25, batch.read, 0.3), batch.text, batch.target)
     a, b = m.log_probs(batch), m.log_probs(other)
     assert np.allclose(a[:25], b[:25]) and not np.allclose(a[25:], b[25:])
 
@@ -395,7 +390,7 @@ def test_speller_spells_words_one_by_one():
 def slow_lm_score(model, lex, count, text):
     """The score by its definition, word by word."""
     words, spell, total = [*lm.words_of(text), b""], lm.Speller(lm.VOCABULARY), 0.0
-    units, lengths, target = [lm.START], [1], []
+    reads, target = [lex.embed[lm.START]], []
     for w in words:
         ids = spell([w])[0].astype(int)
         z = int((lex.registers.log_prior + sum(lex.registers.log_unit[u] for u in lex.of_id[ids])).argmax())
@@ -406,9 +401,8 @@ def slow_lm_score(model, lex, count, text):
             target.append(lm.FIRST_TAIL + z)
             spelling = sum(float(lex.log_id[i, z]) for i in ids)
             total += lex.log_one[z] + math.log10(count[w] - 0.75) if count[w] else lex.log_new[z] + spelling
-        units += list(lex.of_id[ids])
-        lengths.append(len(ids))
-    batch = lm.Batch(np.array(units[: sum(lengths[:-1])]), np.array(lengths[:-1]), np.zeros(len(words), int), np.array(target))
+        reads.append(sum(lex.embed[u] for u in lex.of_id[ids]) / len(ids))
+    batch = lm.Batch(np.array(reads[:-1], float), np.zeros(len(words), int), np.array(target))
     m = lm.Attention({k: v.astype(np.float64) for k, v in model.params.items()})
     return total + sum(slow_log_probs(m, batch)) / math.log(10)
 
@@ -418,7 +412,6 @@ def test_lm_score_by_brute_force(spark, monkeypatch):
     texts += ["met once", "one more time", "one two seldom"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
-    monkeypatch.setattr(lm, "BATCH_WORDS", 1)  # spans begin with their texts, as below
     found, made = {}, (lm.Lexicon.build, lm.train)
     monkeypatch.setattr(lm.Lexicon, "build", lambda *a: found.setdefault("lex", made[0](*a)))
     monkeypatch.setattr(lm, "train", lambda *a: found.setdefault("model", made[1](*a)))
