@@ -1,11 +1,19 @@
 """Main-text extraction by composite text density.
 
-Each DOM node gets a link-adjusted density of characters per tag.  The densities
-of a node's children are summed; the nodes on the path from ``body`` to the
-densest node give the threshold; and the subtree of the largest density sum
-within it is the main text.  Parts that are never article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
-recognised by element and by class, id or role, and are left out of both.
+Each DOM node gets a link-adjusted density of characters per tag, and the sum of
+its children's densities.  The node of the largest sum is the main text (of the
+containers of a node that only arranges them, the one that has it); the least
+density on the path from ``body`` to it is the page's threshold.  Other subtrees
+that reach the threshold are main text as well, each by its own node of the largest
+sum; what stays below it is not.  A node that only arranges containers is not taken
+whole; its containers are judged one by one.  So an article cut into several blocks comes out
+whole, and menus, adverts and notices, short or full of links, do not.
+
+Elements that are never article text (menus, headers, footers, sidebars, forms,
+scripts, styles) are left out from the start.  Class names, ids and roles decide
+nothing alone: the text of a container that is named like boilerplate counts as
+link text, which lowers its density, and a name on the path to the main text is
+taken for an unlucky one.
 """
 
 from __future__ import annotations
@@ -13,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +33,8 @@ from lorequarry.llm.arrow import map_batches, pick
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 SKIPPED = frozenset(
-    "head script style noscript template title nav footer aside form button select option textarea iframe object embed "
-    "svg canvas audio video menu dialog noembed noframes xmp map math input label datalist".split()
+    "head script style noscript template title nav menu footer aside form button select option optgroup textarea input label "
+    "datalist dialog iframe noembed noframes".split()
 )
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -34,6 +43,8 @@ BLOCKS = frozenset(
 )
 #: Elements that end an open ``p``.
 ENDS_P = BLOCKS - frozenset("html body caption td th tr tbody thead tfoot".split())
+#: Elements that the end of a ``p`` outside them does not reach into.
+P_SCOPES = frozenset("table td th button caption object".split())
 #: Elements that end an open element of the same kind, up to the container that holds them.
 ENDS_ITS_LIKE = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -55,8 +66,14 @@ BOILERPLATE = frozenset(
 )
 #: Words that say of a part that it lacks, or lies beside, what the next word names.
 BESIDE = frozenset("no with without has non is not after before".split())
-#: Elements that a name cannot turn into boilerplate.
-NEVER_BOILERPLATE = frozenset("html body article main".split())
+#: Containers, whose names count; a name on a paragraph or a phrase does not.
+NAMEABLE = frozenset("div section ul ol dl table figure details center fieldset address".split())
+#: Containers that may be the main text as a whole.
+CONTAINERS = frozenset("#root html body article main div section center td".split())
+#: Least share of the densest node's text that an ancestor's own blocks hold, for it to be the article.
+OWN_SHARE = 0.1
+#: Headings that belong to the block right after them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
@@ -64,32 +81,30 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "dropped", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("beside", "best", "chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool) -> None:
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.beside = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.best = self
 
+    def nodes(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and not c.dropped]
 
-def _is_boilerplate(tag: str, attributes: str, inside: set[str]) -> bool:
-    if tag in SKIPPED:
-        return True
-    # A page's header goes; an article's own header holds its title.
-    if tag == "header" and not inside & {"article", "main"}:
-        return True
-    if not attributes or tag in NEVER_BOILERPLATE:
+
+def _is_named(tag: str, attributes: str) -> bool:
+    """Whether a container's class, id or role names a part that is not the article."""
+    if not attributes or tag not in NAMEABLE:
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for name in value.split():
@@ -99,136 +114,189 @@ def _is_boilerplate(tag: str, attributes: str, inside: set[str]) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, and how many there are of each kind: so that an element
+    that nothing open concerns is placed without a look at all of them."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", None, False, False)
+        self.stack = [self.root]
+        self.count: Counter = Counter()
+        #: Open paragraphs in each scope that an end of a paragraph cannot leave.
+        self.paragraphs = [0]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.tag] += 1
+        if node.tag in P_SCOPES:
+            self.paragraphs.append(0)
+        elif node.tag == "p":
+            self.paragraphs[-1] += 1
+
+    def close_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.count[tag] -= 1
+            if tag in P_SCOPES:
+                self.paragraphs.pop()
+            elif tag == "p":
+                self.paragraphs[-1] -= 1
+
+    def close(self, tags: set[str], stop: frozenset[str] | set[str] = frozenset()) -> bool:
+        """Close the innermost of ``tags``, unless one of ``stop`` stands before it."""
+        if any(self.count[t] for t in tags):
+            for depth in range(len(self.stack) - 1, 0, -1):
+                if self.stack[depth].tag in tags:
+                    self.close_to(depth)
+                    return True
+                if self.stack[depth].tag in stop:
+                    break
+        return False
+
+
 def parse(source: str) -> Node:
     """The DOM of a page.  Unclosed and misnested tags are closed as browsers do:
     a block ends an open ``p``, an item ends the item before it, and an end tag
     without a start is ignored."""
-    root = Node("#root", None, False)
-    at, top = 0, root
-    for m in iter(lambda: _next(source, at), None):
-        begin, end, m = m
-        if begin > at:
-            top.children.append(source[at:begin])
-        at = end
+    held, at = _Open(), 0
+    while (m := _TAG.search(source, at)) is not None:
+        top = held.stack[-1]
+        if m.start() > at:
+            top.children.append(source[at : m.start()])
+        at = m.end()
         if m[1]:
-            top = _close(top, m[1].lower())
+            held.close({m[1].lower()})
         elif m[2]:
             tag = m[2].lower()
-            if tag in ENDS_P:
-                top = _close(top, "p", stop=frozenset(("table", "td", "th", "button", "#root")))
+            if tag in ENDS_P and held.paragraphs[-1]:
+                held.close({"p"})
             if tag in ENDS_ITS_LIKE:
                 like, stop = ENDS_ITS_LIKE[tag]
-                while (found := _open(top, like, stop)) is not None:
-                    top = found.parent
-            inside = _ancestors(top) if tag == "header" else set()
-            node = Node(tag, top, top.dropped or _is_boilerplate(tag, m[3] or "", inside))
+                while held.close(like, stop):
+                    pass
+            top = held.stack[-1]
+            # A page's header goes; an article's own header holds its title.
+            dropped = tag in SKIPPED or tag == "header" and not (held.count["article"] or held.count["main"])
+            node = Node(tag, top, top.dropped or dropped, _is_named(tag, m[3] or ""))
             top.children.append(node)
             if tag in RAW:
-                stop_at = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.IGNORECASE).search(source, at)
-                raw_end, at = (stop_at.start(), stop_at.end()) if stop_at else (len(source), len(source))
-                node.children.append(source[m.end() : raw_end])
-            elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-                top = node
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.IGNORECASE).search(source, at)
+                node.children.append(source[at : end.start() if end else len(source)])
+                at = end.end() if end else len(source)
             elif tag not in VOID:  # HTML ignores the slash of <div/>
-                top = node
+                held.push(node)
     if at < len(source):
-        top.children.append(source[at:])
-    return root
-
-
-def _next(source: str, at: int):
-    m = _TAG.search(source, at)
-    return (m.start(), m.end(), m) if m else None
-
-
-def _ancestors(node: Node | None) -> set[str]:
-    tags = set()
-    while node is not None:
-        tags.add(node.tag)
-        node = node.parent
-    return tags
-
-
-def _open(node: Node | None, tags: set[str], stop: set[str]) -> Node | None:
-    while node is not None and node.tag not in stop:
-        if node.tag in tags:
-            return node
-        node = node.parent
-    return None
-
-
-def _close(top: Node, tag: str, stop: frozenset[str] = frozenset()) -> Node:
-    """Where parsing goes on after the end of ``tag``."""
-    node: Node | None = top
-    while node is not None and node.tag != "#root":
-        if node.tag == tag:
-            return node.parent
-        if node.tag in stop:
-            break
-        node = node.parent
-    return top
+        held.stack[-1].children.append(source[at:])
+    return held.root
 
 
 def _in_order(root: Node) -> list[Node]:
-    """All nodes, parents first; no recursion, as pages may nest deeply."""
+    """All nodes but dropped ones, parents first; no recursion, as pages may nest deeply."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        out.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node))
+        if not node.dropped:
+            out.append(node)
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out
 
 
-def _measure(root: Node) -> tuple[list[Node], Node]:
-    """Fill in counts, densities and density sums; return the kept nodes and the body."""
-    nodes = [n for n in _in_order(root) if not n.dropped]
+def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: float) -> float:
+    """Characters a tag, scaled down as links take more of the text; ``body_links``
+    is the share of link text in the whole body."""
+    if not chars:
+        return 0.0
+    plain, links = max(chars - link_chars, 1), max(link_chars, 1)
+    scale = math.log(chars / plain * link_chars + body_links * chars + math.e)
+    return chars / max(tags, 1) * math.log(chars / links * max(tags, 1) / max(link_tags, 1) + 1) / scale
+
+
+def measure(nodes: list[Node], body: Node) -> None:
+    """Counts, densities, density sums, and the best node of each subtree, for
+    ``nodes`` with parents first.  Text right in a node counts as a child without tags."""
+    for node in nodes:
+        node.beside = node.named or node.parent is not None and node.parent.beside
     for node in reversed(nodes):
-        kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        kids = node.nodes()
         node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in kids)
         node.tags = sum(c.tags + 1 for c in kids)
-        if node.tag == "a":
+        if node.tag == "a" or node.beside:
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         else:
             node.link_chars = sum(c.link_chars for c in kids)
             node.link_tags = sum(c.link_tags for c in kids)
-    body = next((n for n in nodes if n.tag == "body"), root)
     body_links = body.link_chars / body.chars if body.chars else 0.0
-    for node in nodes:
-        if node.chars:
-            # Composite density: characters a tag, scaled down as links take more of the text.
-            plain, links = max(node.chars - node.link_chars, 1), max(node.link_chars, 1)
-            tags, link_tags = max(node.tags, 1), max(node.link_tags, 1)
-            scale = math.log(node.chars / plain * node.link_chars + body_links * node.chars + math.e)
-            node.density = node.chars / tags * math.log(node.chars / links * tags / link_tags + 1) / scale
-    for node in nodes:
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped) + sum(
-            len(c.strip()) for c in node.children if isinstance(c, str)
-        )
-    return nodes, body
-
-
-def main_node(root: Node) -> Node | None:
-    """The subtree to keep: the largest density sum among nodes that reach the
-    threshold, which is the least density on the path from the body to the node of
-    the largest sum.  Where that node stands inside an ``article`` or ``main``, the
-    outermost of those is taken whole."""
-    nodes, body = _measure(root)
-    inner = [n for n in nodes if n.chars and n.tag != "#root"] or [n for n in nodes if n.chars]
-    if not inner:
-        return None
-    densest = max(inner, key=lambda n: n.sum)
-    path, node = [], densest
-    while node is not None and node is not body.parent:
-        path.append(node)
-        node = node.parent
+    for node in reversed(nodes):
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, body_links)
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        links = own if node.tag == "a" or node.beside else 0
+        node.sum = sum(c.density for c in node.nodes()) + density(own, 1, links, min(links, 1), body_links)
+        # The first of equal sums, and the outer one of a node and its descendants;
+        # paragraphs and phrases are parts of a text, and so stand back.
+        node.best = max([node, *(c.best for c in node.nodes())], key=lambda n: (n.tag in CONTAINERS, n.sum))
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees to keep, in page order."""
+    nodes = _in_order(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    while True:
+        measure(nodes, body)
+        densest = body.best
+        while _is_layout(densest):
+            densest = max((c.best for c in densest.nodes()), key=lambda n: n.sum)
+        path, node = [], densest
+        while node is not None and node is not body.parent:
+            path.append(node)
+            node = node.parent
+        unlucky = [n for n in path if n.named]
+        if not unlucky:
+            break
+        for n in unlucky:
+            n.named = False
+    if not densest.chars:
+        return []
     threshold = min(n.density for n in path)
-    best = max((n for n in inner if n.density >= threshold), key=lambda n: n.sum)
-    whole, node = best, best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            whole = node
-        node = node.parent
-    return whole
+    # The article goes as far up as ancestors have text blocks of their own that reach it.
+    for n in path[1:]:
+        own = [c for c in n.nodes() if c.tag not in CONTAINERS and c.tag not in NAMEABLE and c.tag not in HEADINGS]
+        if sum(c.chars for c in own if c.density >= threshold) >= OWN_SHARE * path[0].chars:
+            densest = n
+    kept, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            if node is densest or node.best is node and not _is_layout(node):
+                kept.append(node)
+            else:
+                stack.extend(reversed(node.nodes()))
+    kept = [x for n in kept for x in (*_headings_of(n), n)]
+    # Within them, named containers that stay below the threshold go.
+    for n in nodes:
+        n.dropped = n.dropped or n.named and n.density < threshold
+    return list(dict.fromkeys(kept))
+
+
+def _is_layout(node: Node) -> bool:
+    """Whether a node only arranges containers, and has no text block of its own."""
+    kids = node.nodes()
+    containers = [c for c in kids if c.tag in NAMEABLE or c.tag in ("article", "main")]
+    others = [c for c in kids if c.tag not in HEADINGS and c not in containers and c.chars]
+    return len(containers) > 1 and not others and not any(isinstance(c, str) and c.strip() for c in node.children)
+
+
+def _headings_of(node: Node) -> list[Node]:
+    """Headings right before a node, with nothing else between them."""
+    found: list[Node] = []
+    if node.parent is not None and node.tag not in ("html", "body"):
+        siblings = node.parent.children
+        for x in reversed(siblings[: next(k for k, c in enumerate(siblings) if c is node)]):
+            if isinstance(x, str) and not x.strip() or isinstance(x, Node) and x.dropped:
+                continue
+            if isinstance(x, str) or x.tag not in HEADINGS:
+                break
+            found.append(x)
+    return found[::-1]
 
 
 def text_of(node: Node) -> str:
@@ -264,8 +332,7 @@ def extract_text(source: str | None) -> str:
     """The main text of a page; empty where there is none or the page is null."""
     if not source:
         return ""
-    node = main_node(parse(source))
-    return text_of(node) if node is not None else ""
+    return "\n".join(filter(None, map(text_of, main_nodes(parse(source)))))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -191,6 +192,97 @@ def test_extraction(page, text):
     assert html.extract_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<p>so <math><mi>x</mi>+<mi>y</mi></math> holds</p>", "so x+y holds"),
+        ("<p class='share-price'>The price of a share rose.</p>", "The price of a share rose."),
+        ("<p class='alert-box'>Mind the gap here.</p>", "Mind the gap here."),
+        ("<div style='display:none'>A folded part.</div>", "A folded part."),
+        ("<details><summary>More</summary>of it</details>", "More\nof it"),
+        ("<object>a plug-in</object>", "a plug-in"),
+    ],
+)
+def test_nothing_else_is_dropped(part, text):
+    long = "A sentence of the article that goes on for a while, as sentences do."
+    page = f"<body><nav><a href=x>menu</a></nav><div><p>{long}</p>{part}<p>{long}</p></div><footer>f</footer>"
+    assert html.extract_text(page) == f"{long}\n{text}\n{long}"
+
+
+def test_names_on_the_way_to_the_article_are_unlucky():
+    long = "A sentence of the article that goes on for a while, as sentences do."
+    page = f"<div class='widget'><div class='comment'><p>{long}</p><p>{long}</p></div></div><div class=ad>Buy now</div>"
+    assert html.extract_text(page) == f"{long}\n{long}"
+
+
+def test_an_article_in_blocks_without_telling_tags():
+    long = "A sentence of the article that goes on for a while, as sentences do. "
+    links = "".join(f"<li><a href={i}>go to {i}</a></li>" for i in range(12))
+    blocks = [f"<div><p>{long * 3}</p><p>{long * 4}</p></div>", f"<div><p>{long * 5}</p></div>"]
+    page = f"<body><div><ul>{links}</ul></div><div><a href=b>Buy this now!</a></div><h1>Title</h1>{''.join(blocks)}<div><ul>{links}</ul></div></body>"
+    assert html.extract_text(page) == "\n".join(["Title", *((long * k).strip() for k in (3, 4, 5))])
+
+
+def test_pages_come_out_without_article_tags_and_classes(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html).replace('class="ad"', "")
+        article = re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1]
+        want = html.text_of(html.parse(article))
+        assert html.extract_text(r.html) == want
+        assert want in html.extract_text(plain)
+
+
+def slow_density(node, body_links):
+    """By definition, from the whole subtree of a node."""
+    def chars(n):
+        return sum(len(c.strip()) if isinstance(c, str) else chars(c) for c in n.children if isinstance(c, str) or not c.dropped)
+
+    def tags(n):
+        return sum(1 + tags(c) for c in n.nodes())
+
+    def links(n):
+        return (chars(n), tags(n) + 1) if n.tag == "a" or n.beside else tuple(map(sum, zip((0, 0), *map(links, n.nodes()))))
+
+    (c, t), (lc, lt) = (chars(node), tags(node)), links(node)
+    if not c:
+        return 0.0 if body_links is not None else (c, lc)
+    if body_links is None:
+        return c, lc
+    scale = math.log(c / max(c - lc, 1) * lc + body_links * c + math.e)
+    return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1) / scale
+
+
+def test_densities_by_brute_force(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        root = html.parse(r.html)
+        nodes = html._in_order(root)
+        body = next(n for n in nodes if n.tag == "body")
+        html.measure(nodes, body)
+        c, lc = slow_density(body, None)
+        for n in nodes:
+            assert math.isclose(n.density, slow_density(n, lc / c))
+            own = "".join(x.strip() for x in n.children if isinstance(x, str))
+            text = html.Node("a" if n.beside or n.tag == "a" else "span", None, False, False)
+            text.children.append(own)
+            assert math.isclose(n.sum, sum(slow_density(k, lc / c) for k in n.nodes()) + slow_density(text, lc / c))
+            inside = html._in_order(n)
+            assert n.best in inside and n.best.sum == max(x.sum for x in inside if (x.tag in html.CONTAINERS) == (n.best.tag in html.CONTAINERS))
+
+
+def test_wide_and_deep_pages_take_time_in_proportion():
+    began = time.perf_counter()
+    assert html.extract_text("<p><button><div>" + "<div>" * 100_000 + "deep") == ""
+    assert html.extract_text("<div>" * 100_000 + "deep") == "deep"
+    assert html.extract_text("<ul><li><p>a" * 30_000).count("a") == 30_000
+    assert time.perf_counter() - began < 30
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, "<p>one page"), (None, None, "<p>one page"), (2, "v", "")]
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in got) == [(0, "one page", 8)] * 2 + [(1, "", 0)] * 2 + [(2, "", 0)]
+
+
 def test_deep_pages_and_all_rows(spark):
     assert html.extract_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     pages = spark.read.parquet(f"{SF}/pages.parquet")
