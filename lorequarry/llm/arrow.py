@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,3 +48,23 @@ def texts(column: pa.Array) -> list[str]:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """``row_key, row_check``: two 64-bit hashes of all columns.  Only rows that are
+    equal in all columns share both."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return [F.xxhash64(whole).alias("row_key"), F.xxhash64(F.lit(1), whole).alias("row_check")]
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` returns (or, with ``left_anti``, does not).
+
+    ``judge`` gets the columns of ``docs``, with the row's own key for a ``doc_id``,
+    and returns ``doc_id`` of some; so no row is kept or lost for the id that it
+    shares.  Repeated rows stay or go together.
+    """
+    key = F.struct(*row_keys(docs))
+    found = judge(docs.withColumn("doc_id", key)).select(F.col("doc_id.*")).toDF("found_key", "found_check").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(docs))
+    return rows.join(found, (rows["row_key"] == found["found_key"]) & (rows["row_check"] == found["found_check"]), how).select("row.*")

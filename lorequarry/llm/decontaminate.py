@@ -8,16 +8,23 @@ of its answer (its last sentence), must stand in the passage.
 
 Items longer than ``UNIT`` words are indexed as units of that length.  Passages
 are windows that overlap by ``UNIT`` words, so a unit that stands in a document
-stands whole in some window.
+stands whole in some window.  The question and the answer of such an item are looked
+for in the whole document, as no window need hold them.
+
+Document frequencies, the number of units and their mean length are those of the
+whole benchmark.  Units reach the workers with their impacts, in blocks of at most
+``INDEX_UNITS``; how they are cut into blocks changes no score.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorequarry.llm.arrow import pick, texts
+from lorequarry.llm.arrow import keep_rows, pick, texts
+from lorequarry.scratch import spool
 
 K1, B = 1.2, 0.75
 #: Words of an indexed unit, and of a passage.
@@ -35,8 +43,8 @@ THRESHOLD = 0.6
 BLOCK = 4
 SHINGLE, MIN_SHINGLES = 5, 0.8
 MIN_QUESTION, MIN_ANSWER = 0.8, 0.5
-#: Most bytes of item text in one index; larger benchmarks are searched in several.
-INDEX_BYTES = 16 << 20
+#: Most units in one index; larger benchmarks are searched in several.
+INDEX_UNITS = 16384
 
 _SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+")
 
@@ -63,32 +71,32 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n)), strict=False))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Item:
-    """One unit of a test item, with what its verification needs."""
+    """One unit of a test item: its words, its terms with their shares of the unit's
+    own BM25 score, and the whole item's text where that is longer."""
 
-    item_id: int
+    item_id: object
     words: tuple[str, ...]
-    question: Counter
-    answer: Counter
-    grams: frozenset
+    terms: tuple[tuple[str, float], ...]
+    whole: str | None
+
+    @cached_property
+    def grams(self) -> frozenset:
+        return frozenset(shingles(list(self.words)))
 
+    @cached_property
+    def parts(self) -> tuple[Counter, Counter]:
+        """Question and answer."""
+        question, answer = question_and_answer(self.whole)
+        return Counter(question), Counter(answer)
 
-def units(item_id: int, text: str | None) -> Iterator[Item]:
-    """An item as units of at most ``UNIT`` words; none for an empty text."""
+
+def units(text: str | None) -> list[list[str]]:
+    """The words of an item as units of at most ``UNIT``; none for an empty text."""
     words = words_of(text or "")
-    question, answer = question_and_answer(text or "")
-    for at in range(0, len(words), UNIT):
-        part = words[at : at + UNIT]
-        if at and len(part) < UNIT:  # the tail takes words of the unit before
-            part = words[-UNIT:]
-        yield Item(
-            item_id,
-            tuple(part),
-            Counter(question) if len(words) <= UNIT else Counter(part),
-            Counter(answer) if len(words) <= UNIT else Counter(part),
-            frozenset(shingles(part)),
-        )
+    # The tail takes words of the unit before.
+    return [words[at : at + UNIT] if at + UNIT <= len(words) or not at else words[-UNIT:] for at in range(0, len(words), UNIT)]
 
 
 class BlockMaxIndex:
@@ -96,18 +104,10 @@ class BlockMaxIndex:
 
     def __init__(self, items: list[Item]) -> None:
         self.items = items
-        lengths = np.array([len(x.words) for x in items], float)
-        mean = lengths.mean() if len(items) else 1.0
-        seen = Counter(w for x in items for w in set(x.words))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, item in enumerate(items):
-            impacts = {}
-            for w, tf in Counter(item.words).items():
-                idf = np.log1p((len(items) - seen[w] + 0.5) / (seen[w] + 0.5))
-                impacts[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(item.words) / mean))
-            own = sum(impacts.values())
-            for w, x in impacts.items():
-                postings[w].append((at, float(x / own)))
+            for w, x in item.terms:
+                postings[w].append((at, x))
         self.postings = {w: ([p[0] for p in ps], [p[1] for p in ps]) for w, ps in postings.items()}
         self.vocabulary = self.postings.keys()
         self.n_blocks = -(-len(items) // BLOCK)
@@ -185,7 +185,7 @@ def _share(need: Counter, have: Counter) -> float:
 
 @dataclass(frozen=True)
 class Match:
-    item_id: int
+    item_id: object
     bm25: float
     shingle_overlap: float
     question_overlap: float
@@ -195,8 +195,9 @@ class Match:
 def matches(index: BlockMaxIndex, text: str) -> list[Match]:
     """Verified items of one document, the best passage of each."""
     words = words_of(text)
-    best: dict[int, Match] = {}
+    best: dict[object, Match] = {}
     step = PASSAGE - UNIT
+    whole_bag: Counter | None = None
     for at in range(0, max(1, len(words) - UNIT), step):
         passage = words[at : at + PASSAGE]
         hits = index.search(set(passage))
@@ -209,45 +210,76 @@ def matches(index: BlockMaxIndex, text: str) -> list[Match]:
             if len(item.words) < SHINGLE and overlap < 1:  # fewer words than a shingle: look for the run
                 n = len(item.words)
                 overlap = float(any(tuple(passage[i : i + n]) == item.words for i in range(len(passage) - n + 1)))
-            question, answer = _share(item.question, bag), _share(item.answer, bag)
-            if overlap >= MIN_SHINGLES and question >= MIN_QUESTION and answer >= MIN_ANSWER:
-                found = Match(item.item_id, score, overlap, question, answer)
+            if overlap < MIN_SHINGLES:
+                continue
+            have = bag
+            if sum(map(sum, (p.values() for p in item.parts))) > UNIT:
+                have = whole_bag = Counter(words) if whole_bag is None else whole_bag
+            question, answer = (_share(part, have) for part in item.parts)
+            if question >= MIN_QUESTION and answer >= MIN_ANSWER:
+                found = Match(item.item_id, round(score, 12), overlap, question, answer)
                 held = best.get(item.item_id)
                 if held is None or (found.shingle_overlap, found.bm25) > (held.shingle_overlap, held.bm25):
                     best[item.item_id] = found
-    return [best[k] for k in sorted(best)]
+    return list(best.values())
+
+
+def weighed_units(benchmark: DataFrame) -> DataFrame:
+    """``item_id, text, words, terms``: each unit of each item, its terms with their
+    shares of the unit's own BM25 score, by the statistics of the whole benchmark.
+
+    Null ids and null or empty texts give none; repeated items count once.
+    """
+    rows = pick(benchmark, "item_id", "text").where("text is not null and item_id is not null").distinct()
+    cut = F.udf(units, "array<array<string>>")
+    made = spool(
+        rows.withColumn("units", cut("text")).select("item_id", "text", F.posexplode("units").alias("unit", "words")),
+        "leak-units",
+    )
+    n, mean = made.agg(F.count("*"), F.avg(F.size("words"))).first()
+    keys = ["item_id", "text", "unit"]
+    counts = made.select(*keys, F.size("words").alias("n"), F.explode("words").alias("word")).groupBy(*keys, "n", "word").agg(F.count("*").alias("tf"))
+    seen = counts.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0))
+    impacts = counts.join(seen, "word").withColumn("x", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + length))
+    # At most ``UNIT`` terms meet in a unit.
+    own = impacts.groupBy(*keys).agg(F.sum("x").alias("own"), F.sort_array(F.collect_list(F.struct("word", "x"))).alias("terms"))
+    share = F.transform("terms", lambda t: F.struct(t["word"].alias("word"), (t["x"] / F.col("own")).alias("x")))
+    return made.join(own.select(*keys, share.alias("terms")), keys).select("item_id", "text", "unit", "words", "terms")
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[list[Item]]:
-    """The items in blocks of at most ``INDEX_BYTES`` of text, streamed to the driver."""
+    """The units in blocks of at most ``INDEX_UNITS``, streamed to the driver."""
     held: list[Item] = []
-    size = 0
-    rows = pick(benchmark, "item_id", "text").where("text is not null and item_id is not null").distinct()
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        made = list(units(row["item_id"], row["text"]))
-        size += len(row["text"].encode("utf-8", "surrogatepass"))
-        held += made
-        if size >= INDEX_BYTES:
+    ordered = spool(weighed_units(benchmark), "leak-weighed").orderBy("item_id", "text", "unit")
+    for row in ordered.toLocalIterator():
+        held.append(Item(row["item_id"], tuple(row["words"]), tuple((t[0], t[1]) for t in row["terms"]), row["text"]))
+        if len(held) >= INDEX_UNITS:
             yield held
-            held, size = [], 0
+            held = []
     if held:
         yield held
 
 
+#: The index that this process has built last, by the key of its block.
+_built: dict[str, BlockMaxIndex] = {}
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, bm25, shingle_overlap, question_overlap, answer_overlap``:
     a row for each row of ``docs`` and each test item that it holds.
 
     Every document is searched whole.  Null and empty texts, of either table, match
     nothing; a repeated document gives its rows again; repeated items count once;
-    empty tables give an empty one; other columns are ignored.  A benchmark beyond
-    ``INDEX_BYTES`` is searched in blocks, each with its own statistics.
+    empty tables give an empty one; other columns are ignored.  Ids may be of any
+    type.  A benchmark of more than ``INDEX_UNITS`` units is searched in blocks.
     """
     rows = pick(docs, "doc_id", "text")
     schema = T.StructType(
         [
             T.StructField("doc_id", rows.schema["doc_id"].dataType),
-            T.StructField("item_id", T.LongType()),
+            T.StructField("item_id", benchmark.schema["item_id"].dataType),
             *(T.StructField(n, T.DoubleType()) for n in ("bm25", "shingle_overlap", "question_overlap", "answer_overlap")),
         ]
     )
@@ -257,10 +289,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = spark.createDataFrame([], schema)
     for items in _indexes(benchmark):
-        shipped = spark.sparkContext.broadcast(items)
+        shipped, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+            from lorequarry.llm.decontaminate import _built
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = BlockMaxIndex(shipped.value)
+            if key not in _built:
+                _built.clear()
+                _built[key] = BlockMaxIndex(shipped.value)
+            index = _built[key]
             for batch in batches:
                 found = []
                 for at in range(0, batch.num_rows, 256):
@@ -275,7 +312,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a test item; a null id is kept
-    only if no document of null id holds one."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+    """``docs`` without the rows whose text holds a test item.
+
+    Rows are told apart by all their columns and never by id: of rows of null or
+    repeated id, those whose texts are clean stay.  Repeated rows stay or go together.
+    """
+    return keep_rows(docs, lambda keyed: find_leaks(keyed, benchmark), "left_anti")

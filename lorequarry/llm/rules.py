@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.arrow import pick
+from lorequarry.llm.arrow import keep_rows, pick
 from lorequarry.scratch import spool
 
 MIN_WORDS = 50
@@ -245,3 +245,9 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
         "common_distance", (~F.col("base_failed") & verdict).alias("kept"),
     )
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, told apart by all their columns and
+    never by id; repeated rows stay or go together."""
+    return keep_rows(docs, lambda keyed: judge(keyed).where("kept"))

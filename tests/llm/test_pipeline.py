@@ -33,3 +33,20 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.collect()
+
+
+def test_rows_of_null_and_repeated_id_are_judged_one_by_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = {r.doc_id: r.kept for r in rules.judge(docs).collect()}
+    good = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
+    from pyspark.sql import functions as F
+
+    for shared in (None, 5):
+        same = docs.withColumn("doc_id", F.lit(shared).cast("long"))
+        texts = sorted(r.text for r in docs.collect() if judged[r.doc_id])
+        assert sorted(r.text for r in corpus_pipeline.apply_rules(spark, same, SF).collect()) == texts
+        leaked = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+        texts = sorted(r.text for r in docs.collect() if r.doc_id not in leaked)
+        assert sorted(r.text for r in corpus_pipeline.decontaminate_stage(spark, same, SF).collect()) == texts
+    texts = sorted(r.text for r in docs.collect() if r.doc_id in good)
+    assert sorted(r.text for r in quality.good_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()) == texts

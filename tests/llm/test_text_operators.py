@@ -21,7 +21,11 @@ SF = "/root/testdata/sf0.001"
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
-    items = [u for k in range(40) for u in decontaminate.units(k, " ".join(rng.choices(words, k=rng.randint(1, 90))))]
+    items = []
+    for k in range(40):
+        for unit in decontaminate.units(" ".join(rng.choices(words, k=rng.randint(1, 90)))):
+            weights = {w: rng.random() for w in unit}
+            items.append(decontaminate.Item(k, tuple(unit), tuple((w, x / sum(weights.values())) for w, x in weights.items()), ""))
     index = decontaminate.BlockMaxIndex(items)
     for threshold in (0.2, 0.5, 0.8):
         for _ in range(60):
@@ -59,11 +63,58 @@ def test_leaks_in_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.remove_leaks(odd_docs, items).count() == odd_docs.count() - 3
 
 
+def slow_bm25(items):
+    """The share of each term in the BM25 score of its unit, item by item."""
+    made = [(i, u) for i, t in items for u in decontaminate.units(t)]
+    mean = sum(len(u) for _, u in made) / len(made)
+    seen = Counter(w for _, u in made for w in set(u))
+    out = {}
+    for i, u in made:
+        x = {w: math.log1p((len(made) - seen[w] + 0.5) / (seen[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(u) / mean)) for w, tf in Counter(u).items()}
+        out[i, tuple(u)] = {w: v / sum(x.values()) for w, v in x.items()}
+    return out
+
+
+def test_impacts_by_brute_force_whatever_the_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [(f"item {k}", " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randint(1, 150)))) for k in range(60)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    want = slow_bm25(items)
+    for size in (10_000, 7):
+        monkeypatch.setattr(decontaminate, "INDEX_UNITS", size)
+        blocks = list(decontaminate._indexes(table))
+        assert all(len(b) <= size for b in blocks)
+        got = {(x.item_id, x.words): dict(x.terms) for b in blocks for x in b}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[k][w], want[k][w]) for k in got for w in want[k])
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
-    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 3000)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == whole
+    rng = random.Random(8)
+    items = [(f"q{k}", " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(12, 100)))) for k in range(80)]
+    docs = []
+    for k, (_, t) in enumerate(items):  # near copies, around the threshold
+        words = t.split()
+        for at in range(0, len(words), 14):
+            words[at] = f"x{rng.randrange(40)}"
+        docs.append((k, " ".join(words)))
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(decontaminate, "MIN_SHINGLES", 0.4)
+
+    def found():
+        return {(r.doc_id, r.item_id): r.bm25 for r in decontaminate.find_leaks(docs, items).collect()}
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "INDEX_UNITS", 5)
+    assert found() == whole
+
+
+def test_long_items_need_their_question_and_answer(spark):
+    item = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(item)), (2, " ".join(item[:70])), (3, "so " * 300 + " ".join(item) + " so" * 300)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, " ".join(item[:150]) + ". " + " ".join(item[150:]))], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.find_leaks(docs, items).collect()} == {1, 3}
 
 
 # --- 3 -------------------------------------------------------------------------
