@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,3 +70,35 @@ def keep_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], how: str
     found = judge(docs.withColumn("doc_id", key)).select(F.col("doc_id.*")).toDF("found_key", "found_check").distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_keys(docs))
     return rows.join(found, (rows["row_key"] == found["found_key"]) & (rows["row_check"] == found["found_check"]), how).select("row.*")
+
+
+#: Bits of a sieve: a fixed 4 MB, whatever the input.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, key: str) -> Broadcast:
+    """A bit array that has a bit for each of some 64-bit keys, of a fixed size.
+
+    It tells most other keys apart, so that their rows need not be shuffled to a
+    join; the join stays exact.  With very many keys it only stops saving.
+    """
+    bit = F.pmod(F.col(key), F.lit(SIEVE_BITS))
+    places = keys.select(F.floor(bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("at"))
+    found = places.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
+    held = np.zeros(SIEVE_BITS // 64, "<i8")
+    held[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(held)
+
+
+def sifted(rows: DataFrame, key: str, held: Broadcast, hit: bool = True) -> DataFrame:
+    """The rows whose key may be among those of a sieve; or those whose key is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for batch in batches:
+            bit = batch[key].to_numpy() % SIEVE_BITS
+            found = (words[bit >> 6] >> (bit & 63) & 1) == 1
+            if found.any() if hit else not found.all():
+                yield batch.filter(pa.array(found == hit))
+
+    return rows.mapInArrow(run, rows.schema)
