@@ -31,6 +31,7 @@ WROTE, WORKS_AT, PROPOSES, CRITICISES, PUBLISHED = "YAZDI", "ÇALIŞIYOR", "ÖNE
 
 # Evaluation.
 RECALL_KS = (5, 10)
+STAGE_HITS = 10
 STAGES = ("naive", "grobid", "metadata", "graph", "hybrid")
 
 # Sections that a filter may name.

@@ -54,6 +54,18 @@ def aggregate(log: DataFrame) -> DataFrame:
     )
 
 
+def savings(llm_log: DataFrame, embed_log: DataFrame) -> DataFrame:
+    """``kind, cost, cost_no_cache, savings`` of each log and of both (``total``)."""
+    totals = [aggregate(log).where("is_total = 1").select(F.lit(kind).alias("kind"), "cost", "cost_no_cache") for kind, log in (("language model", llm_log), ("embedding", embed_log))]
+    rows = totals[0].unionByName(totals[1]).rollup("kind").agg(F.sum("cost").alias("cost"), F.sum("cost_no_cache").alias("cost_no_cache"))
+    return rows.select(F.coalesce("kind", F.lit("total")).alias("kind"), "cost", "cost_no_cache", (F.col("cost_no_cache") - F.col("cost")).alias("savings"))
+
+
+def status_counts(rows: DataFrame, column: str = "status") -> DataFrame:
+    """``status, n``: how many rows of a stage ended in each state."""
+    return rows.groupBy(F.col(column).alias("status")).agg(F.count("*").alias("n"))
+
+
 def report(llm_log: DataFrame, embed_log: DataFrame) -> str:
     """Markdown of both aggregates: a row for each stage, not for each call."""
     lines = ["# Cost report", ""]

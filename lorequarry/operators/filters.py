@@ -51,6 +51,19 @@ def normalize_entities(raw_json: Column) -> Column:
     )
 
 
+def normalize_record(raw_json: Column, paper_id: Column, fallback_title: Column) -> Column:
+    """An extractor's answer as a struct of six fields; a title that is no text, or
+    blank, gives way to the fallback.  An answer that does not parse has no lists."""
+    v = F.try_parse_json(raw_json)
+    titled = F.when(F.schema_of_variant(F.try_variant_get(v, "$.title", "variant")) == "STRING", F.try_variant_get(v, "$.title", "string"))
+    names = ("authors", "methods_proposed", "methods_criticized", "topics")
+    return F.struct(
+        paper_id.alias("arxiv_id"),
+        F.trim(F.coalesce(blank_to_null(titled), fallback_title)).alias("title"),
+        *(string_list(F.try_variant_get(v, f"$.{n}", "variant")).alias(n) for n in names),
+    )
+
+
 def build_where(year_min: int | None = None, year_max: int | None = None, section: str | None = None) -> Column | None:
     """The conjunction of the clauses there are; rows of unknown year fail a bound.
     Authors are never part of it."""

@@ -21,6 +21,7 @@ from lorequarry.functions.text import (
 )
 from lorequarry.operators.filters import year_ok
 from lorequarry.operators.ranking import first_per_key, meet
+from lorequarry.scratch import spool
 
 NODE_COLUMNS = "kind string, id string, name string, aliases array<string>, institution string, title string, year int, seq bigint"
 
@@ -93,6 +94,7 @@ def build(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> tuple[D
         .join(years, "bare", "left")
         .withColumn("year", F.coalesce("known", year_from_paper_id(F.col("arxiv_id"))))
     )
+    base = spool(base, "graph-base")  # seven branches read it
     paper = F.col("arxiv_id")
     year_edges = base.where("year is not null").select(*edge("paper", paper, PUBLISHED, "year", F.col("year"), F.col("seq")))
 
@@ -107,7 +109,7 @@ def build(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> tuple[D
     works = resolved.where(clean_text(F.col("institution")) != "").select(
         *edge("author", F.col("author_id"), WORKS_AT, "institution", clean_text(F.col("institution")), F.col("seq"))
     )
-    edges = distinct_edges(reduce(DataFrame.unionByName, [year_edges, proposes, criticises, wrote, works]))
+    edges = spool(distinct_edges(reduce(DataFrame.unionByName, [year_edges, proposes, criticises, wrote, works])), "graph-edges")
     ends = lambda kind: edges.where(F.col("dst_kind") == kind).select(F.col("dst_id").alias("id"), "seq")
     authors = author_nodes(resolved.select(F.col("author_id").alias("id"), F.col("query_name").alias("name"), "aliases", "institution", "seq"))
     kinds = [
@@ -193,6 +195,17 @@ def author_papers(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     )
 
 
+def author_papers_or_note(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``author_papers``, and for an id that the graph lacks one row that says so."""
+    known = nodes.where("kind = 'author'").select(F.col("id").alias("author_id"))
+    missing = authors.select("author_id").distinct().join(known, "author_id", "left_anti")
+    note = missing.select(
+        "author_id", F.lit(None).cast("string").alias("paper_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"),
+        path(step("author", F.col("author_id")), F.lit("YOK"), F.lit("düğüm yok")).alias("path"),
+    )
+    return author_papers(authors, nodes, edges).unionByName(note)
+
+
 def author_institutions(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``author_id, institution``: by edge, and the node's own where no edge names it."""
     asked = authors.select("author_id").distinct()

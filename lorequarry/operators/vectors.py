@@ -129,6 +129,22 @@ def embed_missing(probed: DataFrame, embed: Callable[[list[str]], list[list[floa
     return missing.mapInArrow(run, "cache_key string, embedding array<float>")
 
 
+def embed_questions(questions: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str) -> tuple[DataFrame, DataFrame]:
+    """``questions`` (``query_id, text``) with their ``embedding``, and what to add to
+    the cache.  A blank question is left out, as nothing can be like it."""
+    probed = probe_cache(questions.where(F.trim(F.coalesce("text", F.lit(""))) != ""), cache, model)
+    fresh = embed_missing(probed, embed)
+    known = probed.drop("embedding").join(cache.select("cache_key", "embedding").unionByName(fresh).dropDuplicates(["cache_key"]), "cache_key")
+    return known, fresh
+
+
+def require_rows(collection: DataFrame, name: str = "collection") -> DataFrame:
+    """The collection, or an error where it has no row to search."""
+    if collection.isEmpty():
+        raise ValueError(f"the {name} is empty: build the index first")
+    return collection
+
+
 def collection_rows(chunks: DataFrame) -> DataFrame:
     """Chunks as rows of a collection: no null text, authors joined, year only if whole."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)

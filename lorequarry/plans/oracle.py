@@ -82,9 +82,9 @@ _PAIRS = f"""SELECT query, p_name, lower(query) AS lq, lower(p_name) AS lp, {_so
   FROM (SELECT DISTINCT p_name FROM part), (VALUES ('red bolt'), ('bolt red'), ('Blue gears'), ('sma')) v(query)"""
 
 _SETS = f"""SELECT query, p_name,
-    array_to_string(list_sort(list_filter(string_split(lq, ' '), lambda t: list_contains(string_split(lp, ' '), t))), ' ') AS i,
-    array_to_string(list_sort(list_filter(string_split(lq, ' '), lambda t: NOT list_contains(string_split(lp, ' '), t))), ' ') AS x,
-    array_to_string(list_sort(list_filter(string_split(lp, ' '), lambda t: NOT list_contains(string_split(lq, ' '), t))), ' ') AS y
+    array_to_string(list_sort(list_filter(string_split(query, ' '), lambda t: list_contains(string_split(p_name, ' '), t))), ' ') AS i,
+    array_to_string(list_sort(list_filter(string_split(query, ' '), lambda t: NOT list_contains(string_split(p_name, ' '), t))), ' ') AS x,
+    array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda t: NOT list_contains(string_split(query, ' '), t))), ' ') AS y
   FROM ({_PAIRS})"""
 _SET_SCORES = f"""SELECT *, length(i) AS s, length(x) AS dx, length(y) AS dy, CASE WHEN i <> '' THEN 1 ELSE 0 END AS g,
     CASE WHEN x = '' OR y = '' THEN 0 ELSE {_lcs('x', 'y')} END AS common FROM ({_SETS})"""
@@ -180,6 +180,18 @@ ORACLE_SQL = {
       WHEN s = 0 THEN 100.0 - 100.0 * (dx + dy - 2 * common)::DOUBLE / (dx + dy)
       ELSE greatest(100.0 - 100.0 * (dx + dy - 2 * common)::DOUBLE / (2 * s + 2 * g + dx + dy), 100.0 - 100.0 * (g + dx)::DOUBLE / (2 * s + g + dx),
         100.0 - 100.0 * (g + dy)::DOUBLE / (2 * s + g + dy)) END / 100, 4)::DOUBLE AS score FROM ({_SET_SCORES})""",
+    "entity_records": """SELECT 'P' || p_partkey AS arxiv_id, CASE WHEN p_partkey % 3 = 0 THEN 'part ' || p_partkey ELSE trim(p_name) END AS title,
+        p_brand AS authors, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS methods_proposed, '' AS methods_criticized, p_type AS topics
+      FROM part WHERE p_partkey % 7 <> 0""",
+    "author_papers_or_note": """SELECT 'A' || a AS author_id, CASE WHEN p IS NULL THEN 'author:A' || a || ' — YOK — düğüm yok'
+        ELSE 'author:A' || a || ' — YAZDI — paper:P' || p END AS path
+      FROM (VALUES (3), (5), (999999999)) v(a) LEFT JOIN (SELECT DISTINCT l_suppkey AS s, l_orderkey AS p FROM lineitem) ON s = a""",
+    "cost_savings": """WITH c AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'embedding' ELSE 'language model' END AS kind,
+        100.0 * (user_id % 50) AS i, 10.0 * (user_id % 7) AS o, event_id % 3 = 0 AS hit, event_id % 4 = 0 AS e FROM events),
+      d AS (SELECT kind, hit, CASE WHEN e THEN i * 0.02 / 1e6 ELSE (i * 0.15 + o * 0.6) / 1e6 END AS usd FROM c)
+      SELECT coalesce(kind, 'total') AS kind, round(sum(usd), 6) AS cost_no_cache, round(sum(CASE WHEN hit THEN 0 ELSE usd END), 6) AS cost,
+        round(sum(CASE WHEN hit THEN usd ELSE 0 END), 6) AS savings FROM d GROUP BY ROLLUP (kind)""",
+    "status_counts": """SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type""",
     "unique_names": """SELECT name_key, arg_min(name, seq) AS name, min(seq) AS seq FROM (
       SELECT p_partkey AS seq, p_name AS name_key,
         CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '   ') ELSE p_name END AS name FROM part) GROUP BY name_key""",

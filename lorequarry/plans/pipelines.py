@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.config import CANDIDATES, CONTEXT_PATHS, RECALL_KS, STAGES, TOP_K, VECTOR_CHUNKS
+from lorequarry.config import CANDIDATES, CONTEXT_PATHS, RECALL_KS, STAGE_HITS, STAGES, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions.text import clamp_score, content_key, extract_json_text, format_hits
 from lorequarry.operators import chunking, evaluate, filters, graph, ranking, vectors
 from lorequarry.sources.services import call_service
@@ -60,6 +60,15 @@ def parse_entities(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", found.alias("e")).select("query_id", "e.*")
 
 
+def parse_records(answers: DataFrame, papers: DataFrame) -> DataFrame:
+    """Models' answers (``arxiv_id, response``) as rows for the graph; the title falls
+    back to the paper's own (``arxiv_id, title``), and answers without JSON are left out."""
+    known = papers.select("arxiv_id", F.col("title").alias("fallback"))
+    raw = answers.select("arxiv_id", extract_json_text(F.col("response")).alias("raw")).where("raw is not null").join(known, "arxiv_id", "left")
+    record = filters.normalize_record(F.col("raw"), F.col("arxiv_id"), F.coalesce("fallback", F.lit("")))
+    return raw.select(record.alias("r")).select("r.*")
+
+
 def parse_filters(answers: DataFrame) -> DataFrame:
     """Models' answers as ``query_id, year_min, year_max, authors, section``."""
     found = filters.normalize_filter(extract_json_text(F.col("response")))
@@ -110,6 +119,41 @@ def hybrid_hits(questions: DataFrame, entities: DataFrame, nodes: DataFrame, edg
     return ranking.context_hits(fused, chunks, papers)
 
 
+def graph_hits(entities: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = TOP_K) -> DataFrame:
+    """``query_id, doc_id, rank, chunk_id``: the ``n`` best papers by graph signals; a
+    paper stands for its chunks under its own id."""
+    scored = graph.rank_by_signals(entities, nodes, edges)
+    best = ranking.ranked(scored, ["query_id"], ranking.graph_order("score", "year", "doc_id")).where(F.col("rank") <= n)
+    return best.select("query_id", "doc_id", "rank", F.concat("doc_id", F.lit("_graph")).alias("chunk_id"))
+
+
+def run_stages(
+    questions: DataFrame, asked: DataFrame, entities: DataFrame, nodes: DataFrame, edges: DataFrame, collections: dict[str, DataFrame],
+    stages: tuple[str, ...] = STAGES, k: int = STAGE_HITS,
+) -> dict[str, DataFrame]:
+    """The hits of each stage, as ``evaluate_stages`` takes them.
+
+    ``collections``: ``naive`` and ``grobid`` chunks; the later stages search the
+    latter.  ``asked`` are the questions' filters, ``entities`` their entities.
+    """
+    if unknown := set(stages) - set(STAGES):
+        raise ValueError(f"unknown stages: {', '.join(sorted(unknown))}")
+
+    def as_hits(found: DataFrame) -> DataFrame:
+        return found.select("query_id", "rank", "chunk_id", F.col("arxiv_id").alias("doc_id"))
+
+    runners = {
+        "naive": lambda: as_hits(_search(vectors.require_rows(collections["naive"]), questions, k)),
+        "grobid": lambda: as_hits(_search(vectors.require_rows(collections["grobid"]), questions, k)),
+        "metadata": lambda: as_hits(metadata_hits(vectors.require_rows(collections["grobid"]), questions, asked, k)),
+        "graph": lambda: graph_hits(entities, nodes, edges, k),
+        "hybrid": lambda: hybrid_hits(questions, entities, nodes, edges, vectors.require_rows(collections["grobid"]), n=k).select(
+            "query_id", "rank", "chunk_id", "doc_id"
+        ),
+    }
+    return {stage: runners[stage]() for stage in stages}
+
+
 def author_paths(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``query_id, paths``: up to ``CONTEXT_PATHS`` paths from asked authors to papers."""
     asked = entities.where("author_name is not null").select("query_id", F.col("author_name").alias("query"))
@@ -147,6 +191,12 @@ def print_hits(hits: DataFrame, n: int = TOP_K) -> None:
     print("\n".join(f"{r['rank']:>2}. {r['chunk_id']} [{r['section'] or '-'}] {r['distance']:.4f}" for r in rows) or "(yok)")
 
 
+def print_paths(paths: DataFrame, n: int = TOP_K) -> None:
+    """The first paths of an answer (column ``path``), numbered."""
+    rows = paths.orderBy("path").limit(n).collect()
+    print("\n".join(f"{k:>2}. {r['path']}" for k, r in enumerate(rows, 1)) or "(yok)")
+
+
 # --- evaluating ---------------------------------------------------------------------
 
 

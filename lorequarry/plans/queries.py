@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.config import CHAT_MODEL, TOP_K, VECTOR_CHUNKS
+from lorequarry.config import CHAT_MODEL, EMBED_MODEL, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions import tei, text
 from lorequarry.operators import chunking, costs, evaluate, filters, graph, ranking, resolve, vectors
-from lorequarry.scratch import spool
+from lorequarry.plans import pipelines
+from lorequarry.scratch import once, spool
 from lorequarry.sources import readers, writers
 
 #: Every twentieth vector asks a question.
@@ -151,9 +152,13 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph written once and read back, as questions about it would find it."""
-    nodes, edges = _graph(spark, sf_dir)
-    return spool(nodes, "nodes"), spool(edges, "edges")
+    """The graph of a data set, written once for a session: questions find it stored."""
+
+    def stored() -> tuple[DataFrame, DataFrame]:
+        nodes, edges = _graph(spark, sf_dir)
+        return spool(nodes, "nodes"), edges
+
+    return once(spark, ("graph", sf_dir), stored)
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,12 +382,49 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_at_k(gold, near)
 
 
+def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as papers, with answers of an extractor that are fenced, lack a title or
+    a list, or hold no object."""
+    k, name, brand, kind = (F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type"))
+    title = F.when(k % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), name))
+    proposed = F.when(k % 2 == 0, F.concat(F.lit('["'), kind, F.lit('", " "]'))).otherwise(F.lit("7"))
+    parts = (F.lit('{"title": "'), title, F.lit('", "authors": "'), brand, F.lit('", "methods_proposed": '), proposed, F.lit(', "topics": ["'), kind, F.lit('"]}'))
+    answer = F.concat(F.lit("Here:\n```json\n"), *parts, F.lit("\n```"))
+    parts_of = table(spark, sf_dir, "part")
+    paper = F.concat(F.lit("P"), k.cast("string")).alias("arxiv_id")
+    answers = parts_of.select(paper, F.when(k % 7 == 0, F.lit("I cannot tell.")).otherwise(answer).alias("response"))
+    found = pipelines.parse_records(answers, parts_of.select(paper, F.concat(F.lit("part "), k.cast("string")).alias("title")))
+    lists = ("authors", "methods_proposed", "methods_criticized", "topics")
+    return found.select("arxiv_id", "title", *(F.array_join(c, "|").alias(c) for c in lists))
+
+
+def author_papers_or_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _stored_graph(spark, sf_dir)
+    asked = spark.createDataFrame([("A3",), ("A5",), ("A999999999",)], "author_id string")
+    return graph.author_papers_or_note(asked, nodes, edges).select("author_id", "path")
+
+
+def cost_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, event = F.col("user_id"), F.col("event_id")
+    calls = table(spark, sf_dir, "events").select(
+        F.lit("s").alias("stage"), F.when(event % 4 == 0, EMBED_MODEL).otherwise(CHAT_MODEL).alias("model"), (100 * (user % 50)).alias("input_tokens"),
+        F.when(event % 4 == 0, F.lit(0)).otherwise(10 * (user % 7)).alias("output_tokens"), (event % 3 == 0).alias("cache_hit"), event,
+    )
+    logged = costs.log_rows(calls)
+    found = costs.savings(logged.where("event_id % 4 <> 0"), logged.where("event_id % 4 = 0"))
+    return found.select("kind", *(F.round(c, 6).alias(c) for c in ("cost_no_cache", "cost", "savings")))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.status_counts(table(spark, sf_dir, "events"), "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_prefilter, vector_topk_postfilter, paper_rank_from_chunks, rrf_fusion, weighted_fusion, context_or_card, filtered_catalog,
         year_filtered_list, graph_nodes, graph_edges, graph_summary, author_papers, author_institution, papers_criticizing, coauthors, multi_hop,
         graph_signal_ranking, name_match_tiered, token_sort_score, token_set_score, unique_names, resolve_entities, naive_chunks, merge_pieces, section_buckets,
-        html_extract, paper_blob, json_extract, jsonl_tolerant, cache_probe, upsert_chunks, cost_report, recall_at_k,
+        html_extract, paper_blob, json_extract, entity_records, author_papers_or_note, cost_savings, status_counts, jsonl_tolerant, cache_probe, upsert_chunks, cost_report, recall_at_k,
     )
 }

@@ -1,0 +1,78 @@
+"""Title scores with case, record normalising, embedding of questions, guards, and
+the retrieval stages behind one call."""
+
+import pytest
+from lorequarry.functions.text import title_score
+from lorequarry.operators import vectors
+from lorequarry.plans import pipelines
+from pyspark.sql import functions as F
+
+
+def test_title_score_minds_case(spark):
+    rows = [("Deep LEARNING", "deep learning"), ("deep learning", "learning deep"), ("Deep Learning", "Deep Learning for Mail"), ("", "x")]
+    got = spark.createDataFrame(rows, "a string, b string").select(title_score(F.col("a"), F.col("b")).alias("s")).collect()
+    assert got[0].s < 0.85 and [r.s for r in got[1:]] == [1.0, 1.0, 0.0]
+
+
+def test_records(spark):
+    answers = [
+        ("p1", 'Sure: {"title": " A title ", "authors": ["X", " "], "topics": "one"}'),
+        ("p2", '```json\n{"title": 7, "methods_proposed": [" m "]}\n```'),
+        ("p3", "no object"),
+    ]
+    papers = spark.createDataFrame([("p1", "own 1"), ("p2", " own 2 "), ("p3", "own 3")], "arxiv_id string, title string")
+    got = {r.arxiv_id: r for r in pipelines.parse_records(spark.createDataFrame(answers, "arxiv_id string, response string"), papers).collect()}
+    assert set(got) == {"p1", "p2"}
+    assert (got["p1"].title, got["p1"].authors, got["p1"].topics, got["p1"].methods_criticized) == ("A title", ["X"], ["one"], [])
+    assert (got["p2"].title, got["p2"].methods_proposed) == ("own 2", ["m"])
+
+
+def test_questions_are_embedded_once(spark):
+    questions = spark.createDataFrame([("q1", "one"), ("q2", "two"), ("q3", "one"), ("q4", " ")], "query_id string, text string")
+    none = spark.createDataFrame([], "cache_key string, embedding array<float>")
+    embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    found, fresh = vectors.embed_questions(questions, none, embed, "m")
+    assert {r.query_id: list(r.embedding) for r in found.collect()} == {q: [3.0, 1.0] for q in ("q1", "q2", "q3")}
+    assert fresh.count() == 2
+
+    def fail(texts):
+        raise AssertionError("all are cached")
+
+    again, _ = vectors.embed_questions(questions, fresh, fail, "m")
+    assert again.count() == 3
+
+
+def test_an_empty_collection_is_an_error(spark):
+    with pytest.raises(ValueError, match="empty"):
+        vectors.require_rows(spark.range(0))
+
+
+def test_stages_run_behind_one_call(spark):
+    chunk = "chunk_id string, document string, embedding array<float>, arxiv_id string, section string, authors string, year int"
+    names = ["Ada Byron", "Emmy Noether", "Grace Hopper", "Karen Jones", "Mary Jackson", "Vera Rubin"]
+    rows = [(f"p{i}_{j}", f"text {i} {j}", [float(i), float(j + 1)], f"p{i}", "method", names[i], 2000 + i) for i in range(6) for j in range(3)]
+    collection = spark.createDataFrame(rows, chunk)
+    questions = spark.createDataFrame([("q", [5.0, 1.0])], "query_id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", 2003, None, ["jackson"], None)], "query_id string, year_min int, year_max int, authors array<string>, section string")
+    entities = spark.createDataFrame([("q", "Grace Hopper", None, None, None)], "query_id string, author_name string, topic string, method string, year_min int")
+    nodes = [("paper", f"p{i}", "", [], "", f"title {i}", 2000 + i, i) for i in range(6)] + [("author", f"A{i}", names[i], [], "", None, None, i) for i in range(6)]
+    from lorequarry.operators.graph import NODE_COLUMNS, WROTE
+
+    nodes = spark.createDataFrame(nodes, NODE_COLUMNS)
+    edges = spark.createDataFrame(
+        [("author", f"A{i}", WROTE, "paper", f"p{i}", i) for i in range(6)], "src_kind string, src_id string, relation string, dst_kind string, dst_id string, seq bigint"
+    )
+    hits = pipelines.run_stages(questions, asked, entities, nodes, edges, {"naive": collection, "grobid": collection})
+    got = {s: [(r.rank, r.doc_id) for r in h.orderBy("rank").collect()] for s, h in hits.items()}
+    assert list(got) == list(pipelines.STAGES)
+    assert got["naive"] == got["grobid"] and len(got["naive"]) == 10 and got["naive"][0] == (1, "p5")
+    assert {p for _, p in got["metadata"]} == {"p4"}
+    assert got["graph"][0] == (1, "p2") and "p2" in {p for _, p in got["hybrid"]}
+    with pytest.raises(ValueError, match="unknown"):
+        pipelines.run_stages(questions, asked, entities, nodes, edges, {}, stages=("other",))
+
+
+def test_paths_are_printed(spark, capsys):
+    pipelines.print_paths(spark.createDataFrame([("b",), ("a",)], "path string"))
+    pipelines.print_paths(spark.createDataFrame([], "path string"))
+    assert capsys.readouterr().out == " 1. a\n 2. b\n(yok)\n"
