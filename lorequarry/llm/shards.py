@@ -10,6 +10,7 @@ any slot by arithmetic and reads on from there.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -169,7 +170,29 @@ def materialise(docs: DataFrame, path: str | None = None, tokens: ByteTokens = B
 
     n_parts = max(1, -(-n // (layout.shard * SHARDS_A_PART)))
     dealt = rows.mapInArrow(cut, schema).repartitionById(n_parts, F.col("part")).sortWithinPartitions("slot")
-    return layout, spool(_written(dealt, layout, tokens.pad), "shard-index")
+    index = spool(_written(dealt, layout, tokens.pad), "shard-index")
+    _publish(layout, index.count())
+    return layout, index
+
+
+def _publish(layout: Layout, written: int) -> None:
+    """Write the manifest, by which readers know that all shards are there; without
+    it the shards are not to be read."""
+    if written != layout.n:
+        raise RuntimeError(f"{written} of {layout.n} sequences were written: the input changed between two readings")
+    system, root = _open_dir(layout.path)
+    system.create_dir(root, recursive=True)
+    manifest = {"sequences": layout.n, "length": layout.length, "shard": layout.shard, "stride": layout.stride}
+    with system.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
+
+
+def load(path: str) -> Layout:
+    """The layout of published shards."""
+    system, root = _open_dir(path)
+    with system.open_input_file(f"{root}/manifest.json") as f:
+        held = json.loads(f.read())
+    return Layout(path, held["sequences"], held["length"], held["shard"])
 
 
 def _written(dealt: DataFrame, layout: Layout, pad: int) -> DataFrame:

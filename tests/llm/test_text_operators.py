@@ -409,7 +409,7 @@ def test_shards_read_back(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shards, "SHARD", 64)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     layout, index = shards.materialise(docs.repartition(5).transform(lambda d: shards.spool(d, "t")), f"file://{tmp_path}/out")
-    layout = shards.Layout(layout.path, layout.n, layout.length, layout.shard)
+    assert shards.load(layout.path) == layout
     rows = sorted(index.collect(), key=lambda r: r.slot)
     got = list(shards.read(layout))
     assert [r.slot for r in rows] == list(range(layout.n)) and [zlib.crc32(g) for g in got] == [r.crc for r in rows]
@@ -423,7 +423,10 @@ def test_shards_read_back(spark, tmp_path, monkeypatch):
 def test_shards_of_odd_rows(spark, odd_docs, no_docs):
     layout, index = shards.materialise(shards.spool(odd_docs, "odd"))
     assert index.count() == layout.n == len(list(shards.read(layout)))
-    assert shards.materialise(shards.spool(no_docs, "none"))[1].count() == 0
+    layout, index = shards.materialise(shards.spool(no_docs, "none"))
+    assert index.count() == 0 and shards.load(layout.path).n == 0
+    with pytest.raises(RuntimeError):
+        shards._publish(layout, 1)
 
 
 # --- 9 -------------------------------------------------------------------------
