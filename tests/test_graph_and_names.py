@@ -112,7 +112,7 @@ def test_resolve(spark):
 def test_paper_matching(spark):
     papers = spark.createDataFrame([("p1", "A Study of Things", "d1"), ("p2", "Deep Graph Learning", None)], "arxiv_id string, title string, doi string")
     works = spark.createDataFrame(
-        [("W1", "d1", "Other", None, 0), ("W2", None, "Deep graph learning", "p2", 0), ("W3", None, "Graph", "p2", 1)], "work_id string, doi string, title string, searched_for string, pos int"
+        [("W1", "d1", "Other", None, 0), ("W2", None, "Learning Deep Graph", "p2", 1), ("W3", None, "deep graph learning", "p2", 0)], "work_id string, doi string, title string, searched_for string, pos int"
     )
     assert {tuple(r) for r in resolve.match_paper(papers, works).collect()} == {("p1", "W1"), ("p2", "W2")}
 
