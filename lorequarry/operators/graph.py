@@ -215,21 +215,34 @@ def author_institutions(authors: DataFrame, nodes: DataFrame, edges: DataFrame)
 
 
 def papers_criticising(methods: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``query, paper_id, title, year, method_id``: papers that criticise a method of
-    a like name; of several such methods the best match, then the first."""
+    """``query, paper_id, title, year, method_id, path``: papers that criticise a
+    method of a like name; of several such methods the best match, then the first."""
     found = match_names(methods, labels(nodes, "method"))
     against = _hop(edges, CRITICISES, "paper", "method").select(F.col("src_id").alias("paper_id"), F.col("dst_id").alias("id"))
     rows = found.join(against, "id").select("query", "paper_id", F.col("id").alias("method_id"), "score", "seq")
     order = [F.col("score").desc(), F.col("seq"), F.col("method_id")]
-    return first_per_key(rows, ["query", "paper_id"], order).join(_papers(nodes), "paper_id").select("query", "paper_id", "title", "year", "method_id")
+    walked = path(step("paper", F.col("paper_id")), F.lit(CRITICISES), step("method", F.col("method_id"))).alias("path")
+    return first_per_key(rows, ["query", "paper_id"], order).join(_papers(nodes), "paper_id").select("query", "paper_id", "title", "year", "method_id", walked)
+
+
+def _shared_papers(authors: DataFrame, edges: DataFrame) -> DataFrame:
+    """``author_id, coauthor_id, paper_id``, each once."""
+    wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("coauthor_id"), F.col("dst_id").alias("paper_id")).distinct()
+    mine = authors.select("author_id").distinct().join(wrote, F.col("author_id") == F.col("coauthor_id")).select("author_id", "paper_id")
+    return mine.join(wrote, "paper_id").where(F.col("coauthor_id") != F.col("author_id")).select("author_id", "coauthor_id", "paper_id")
 
 
 def coauthors(authors: DataFrame, edges: DataFrame) -> DataFrame:
     """``author_id, coauthor_id, papers``: others on the author's papers, and which."""
-    wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("who"), F.col("dst_id").alias("paper_id")).distinct()
-    mine = authors.select("author_id").distinct().join(wrote, F.col("author_id") == F.col("who")).select("author_id", "paper_id")
-    met = mine.join(wrote, "paper_id").where(F.col("who") != F.col("author_id"))
-    return met.groupBy("author_id", F.col("who").alias("coauthor_id")).agg(F.array_sort(F.collect_set("paper_id")).alias("papers"))
+    return _shared_papers(authors, edges).groupBy("author_id", "coauthor_id").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"))
+
+
+def coauthor_paths(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``author_id, coauthor_id, name, paper_id, path``: the two hops to each coauthor
+    by each paper; ``name`` is the coauthor's, or the id where it has none."""
+    names = nodes.where("kind = 'author'").select(F.col("id").alias("coauthor_id"), F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"))
+    ends = [step("author", F.col("author_id")), F.lit(WROTE), step("paper", F.col("paper_id")), F.lit(WROTE), step("author", F.col("coauthor_id"))]
+    return _shared_papers(authors, edges).join(names, "coauthor_id").select("author_id", "coauthor_id", "name", "paper_id", path(*ends).alias("path"))
 
 
 def coauthor_papers(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

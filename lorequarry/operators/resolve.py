@@ -15,7 +15,12 @@ from lorequarry.config import (
     CONFIDENCE_MIN, HOMONYM_GAP, HOMONYM_MIN, INSTITUTION_BONUS, INSTITUTION_MIN, JOINT_FLOOR, SAME_PAPER_FLOOR, TITLE_FLOOR, TITLE_MIN,
 )
 from lorequarry.functions.text import aliases_of, clean_text, institution_score, name_key, name_score, short_id, title_score
-from lorequarry.operators.ranking import first_per_key
+from lorequarry.operators.ranking import first_per_key, top_per_group
+from lorequarry.scratch import spool
+
+
+#: Resolved co-listed names that are probed for joint works, candidates of a name, and works of a candidate.
+PEERS_PROBED, CANDIDATES_A_NAME, TOP_WORKS = 2, 5, 5
 
 
 def unique_names(mentions: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
@@ -38,6 +43,21 @@ def order_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("pos", F.row_number().over(over) - 1)
 
 
+def first_candidates(found: DataFrame, works: DataFrame) -> DataFrame:
+    """Candidates of names from a search (``query_name, pos, author_id, display_name,
+    institution, works, score``): the first ``CANDIDATES_A_NAME`` that it returned,
+    with the titles of their most cited works (``author_id, title, cited_by``), in
+    order.  A blank id is no candidate, but takes its place in the search; a blank
+    title is no work; equal citations go by title."""
+    kept = top_per_group(found, ["query_name"], [F.col("pos")], CANDIDATES_A_NAME, "_nth").drop("_nth").where("coalesce(author_id, '') <> ''")
+    titled = works.where("coalesce(title, '') <> ''")
+    cited = top_per_group(titled, ["author_id"], [F.col("cited_by").desc_nulls_last(), F.col("title")], TOP_WORKS)
+    listed = cited.groupBy("author_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("t"))
+    top = listed.select("author_id", F.col("t.title").alias("top_5_works"))
+    with_works = kept.join(top, "author_id", "left").withColumn("top_5_works", F.coalesce("top_5_works", F.array().cast("array<string>")))
+    return order_candidates(with_works)
+
+
 def institution_of(last_known: Column, legacy: Column, affiliations: Column) -> Column:
     """The first named last-known institution, else the legacy one, else the named
     affiliation of the latest year (the last among equals; no year counts as -1)."""
@@ -113,15 +133,29 @@ def is_ambiguous(conf: Column, hard: Column, second: Column) -> Column:
     return F.when(conf < CONFIDENCE_MIN, True).when(hard, False).otherwise(F.coalesce(close, F.lit(False)))
 
 
-def score_pool(names: DataFrame, pool: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame, joint_pairs: DataFrame | None = None) -> DataFrame:
+def known_joint(names: DataFrame, peers: DataFrame, off_paper: DataFrame, joint_pairs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``query_name, author_id`` of ``off_paper`` with a known joint work (``a < b``)
+    with the author of one of the name's first ``PEERS_PROBED`` resolved peers."""
+    peer = resolved.select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id"))
+    seen = names.groupBy(F.col("query_name").alias("peer")).agg(F.min("seq").alias("at"))
+    probed = top_per_group(peers.join(peer, "peer").join(seen, "peer"), ["query_name"], [F.col("at"), F.col("peer")], PEERS_PROBED)
+    pairs = off_paper.join(probed.select("query_name", "peer_id"), "query_name").where("author_id <> peer_id")
+    same = (F.least("author_id", "peer_id") == F.col("a")) & (F.greatest("author_id", "peer_id") == F.col("b"))
+    return pairs.join(joint_pairs, same, "left_semi").select("query_name", "author_id")
+
+
+def score_pool(
+    names: DataFrame, pool: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame,
+    joint_pairs: DataFrame | None = None, resolved: DataFrame | None = None,
+) -> DataFrame:
     """``pool`` with evidence, ``confidence`` and ``hard``.
 
     ``titles``: ``arxiv_id, title``.  Evidence: on the byline of one of the name's
     papers; a top work titled like one of them; a top work shared with a co-listed
-    name's first two candidates, or a known joint work (``joint_pairs``, ``a < b``)
-    with such an author; an institution like one on the papers or of the first
-    candidates of co-listed names.
-    """
+    name's first two candidates, or, for authors not on the byline, a known joint work
+    (``joint_pairs``) with what co-listed names were ``resolved`` to; an institution
+    like one on the papers or of the first candidates of co-listed names.
+    """
     key = ["query_name", "author_id"]
     mine = names.select("query_name", "arxiv_id").distinct()
     on_paper = mine.join(authorships.select("arxiv_id", "author_id").distinct(), "arxiv_id").select(*key).distinct().withColumn("same_paper", F.lit(True))
@@ -134,10 +168,9 @@ def score_pool(names: DataFrame, pool: DataFrame, candidates: DataFrame, authors
     peer_firsts = peers.join(candidates.where("pos < 2").select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id"), "pos", F.col("institution").alias("peer_place"), F.col("top_5_works").alias("peer_works")), "peer")
     peer_titles = peer_firsts.select("query_name", F.explode("peer_works").alias("w")).select("query_name", name_key(F.col("w")).alias("work_key")).where("work_key <> ''").distinct()
     shared = own_works.withColumn("work_key", name_key(F.col("work"))).join(peer_titles, ["query_name", "work_key"]).select(*key).distinct()
-    if joint_pairs is not None:
-        pairs = pool.select(*key).join(peer_firsts.where("pos = 0").select("query_name", "peer_id"), "query_name").where("author_id <> peer_id")
-        known = pairs.join(joint_pairs, (F.least("author_id", "peer_id") == F.col("a")) & (F.greatest("author_id", "peer_id") == F.col("b")), "left_semi")
-        shared = shared.unionByName(known.select(*key)).distinct()
+    if joint_pairs is not None and resolved is not None:
+        off_paper = pool.select(*key).join(on_paper.select(*key), key, "left_anti")
+        shared = shared.unionByName(known_joint(names, peers, off_paper, joint_pairs, resolved)).distinct()
     places = mine.join(authorships, "arxiv_id").select("query_name", "institution").unionByName(peer_firsts.where("pos = 0").select("query_name", F.col("peer_place").alias("institution")))
     places = places.where(F.coalesce("institution", F.lit("")) != "").distinct().withColumnRenamed("institution", "place")
     agreed = (
@@ -189,9 +222,16 @@ def decide(scored: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve(names: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame, joint_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Names to authors in one pass over all names, in no order: joint evidence is
-    sought with each co-listed name's first candidate, not with names resolved so far."""
+    """Names to authors, all at once and in no order.
+
+    Known joint works are sought in a second pass, with the authors that the first has
+    found for co-listed names; a pass name by name would see only names before it.
+    """
     cleaned = names.withColumn("query_name", clean_text(F.col("query_name")))
     ordered = order_candidates(candidates)
     pool = candidate_pool(cleaned, ordered, authorships)
-    return decide(score_pool(cleaned, pool, ordered, authorships, titles, joint_pairs), cleaned)
+    found = decide(score_pool(cleaned, pool, ordered, authorships, titles), cleaned)
+    if joint_pairs is None:
+        return found
+    resolved = spool(found[0].select("query_name", "author_id"), "resolved")
+    return decide(score_pool(cleaned, pool, ordered, authorships, titles, joint_pairs, resolved), cleaned)

@@ -152,7 +152,7 @@ ORACLE_SQL = {
     "author_papers": f"""SELECT src_id AS author_id, paper_id, title, year, 'author:' || src_id || ' — YAZDI — paper:' || paper_id AS path
       FROM ({_EDGES}) JOIN ({_PAPER_NODES}) ON paper_id = dst_id WHERE relation = 'YAZDI'""",
     "author_institution": f"SELECT src_id AS author_id, dst_id AS institution FROM ({_EDGES}) WHERE relation = 'ÇALIŞIYOR'",
-    "papers_criticizing": f"""SELECT query, paper_id, title, year, method_id FROM (
+    "papers_criticizing": f"""SELECT query, paper_id, title, year, method_id, 'paper:' || paper_id || ' — ELEŞTİRİYOR — method:' || method_id AS path FROM (
       SELECT query, e.src_id AS paper_id, m.id AS method_id, row_number() OVER (PARTITION BY query, e.src_id ORDER BY score DESC, f.seq, m.id) AS n
       FROM ({_METHOD_SCORES}) m JOIN ({_EDGES}) e ON e.dst_id = m.id AND e.relation = 'ELEŞTİRİYOR'
       JOIN (SELECT p_brand, min(l_orderkey) AS seq FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('N', 'R') GROUP BY p_brand) f ON f.p_brand = m.id
@@ -160,6 +160,16 @@ ORACLE_SQL = {
     "coauthors": f"""SELECT a.src_id AS author_id, b.src_id AS coauthor_id, count(DISTINCT a.dst_id) AS n_papers,
       string_agg(DISTINCT a.dst_id, ',' ORDER BY a.dst_id) AS papers
       FROM ({_EDGES}) a JOIN ({_EDGES}) b ON a.dst_id = b.dst_id AND a.src_id <> b.src_id AND a.relation = 'YAZDI' AND b.relation = 'YAZDI' GROUP BY ALL""",
+    "coauthor_paths": f"""SELECT DISTINCT a.src_id AS author_id, b.src_id AS coauthor_id, s_name AS name, a.dst_id AS paper_id,
+        'author:' || a.src_id || ' — YAZDI — paper:' || a.dst_id || ' — YAZDI — author:' || b.src_id AS path
+      FROM ({_EDGES}) a JOIN ({_EDGES}) b ON a.dst_id = b.dst_id AND a.src_id <> b.src_id AND a.relation = 'YAZDI' AND b.relation = 'YAZDI'
+      JOIN supplier ON b.src_id = 'A' || s_suppkey WHERE a.src_id IN ('A3', 'A5', 'A999999999')""",
+    "author_candidates": """WITH found AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS came FROM supplier),
+      cited AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL),
+      top AS (SELECT l_suppkey AS s_suppkey, string_agg('part ' || l_partkey, '|' ORDER BY nth) AS top_5_works FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, 'part ' || l_partkey) AS nth FROM cited) WHERE nth <= 5 GROUP BY l_suppkey)
+      SELECT s_nationkey::VARCHAR AS query_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 DESC, s_suppkey % 7 DESC, came) - 1 AS pos,
+        'A' || s_suppkey AS author_id, coalesce(top_5_works, '') AS top_5_works FROM found LEFT JOIN top USING (s_suppkey) WHERE came <= 5""",
     "multi_hop": f"""WITH w AS (SELECT src_id AS a, dst_id AS p FROM ({_EDGES}) WHERE relation = 'YAZDI'),
       others AS (SELECT DISTINCT y.a FROM w x JOIN w y ON x.p = y.p WHERE x.a = 'A7' AND y.a <> 'A7')
       SELECT DISTINCT 'A7' AS author_id, paper_id, year FROM w JOIN others USING (a) JOIN ({_PAPER_NODES}) ON paper_id = p
@@ -243,3 +253,27 @@ ORACLE_SQL["resolve_entities"] = """WITH p AS (SELECT p_name, min(p_partkey) AS
   SELECT p_name AS query_name, 'A' || first AS author_id, confidence,
     array_to_string(list_sort([w[1][1] || '. ' || w[2], w[1] || ' ' || w[2][1] || '.', w[2] || ', ' || w[1], display]), '|') AS aliases,
     CASE WHEN confidence < 0.7 THEN 'confidence < 0.7' ELSE 'mapped' END AS status FROM d"""
+
+
+def _decided(pool: str) -> str:
+    """The first of each name's pool, with its confidence and status."""
+    return f"""SELECT k, x AS author, CASE WHEN conf < 0.7 THEN 'confidence < 0.7' WHEN NOT hard AND conf - second < 0.05 THEN 'homonym_no_paper_evidence' ELSE 'mapped' END AS status, conf
+      FROM (SELECT *, row_number() OVER w AS nth, lead(conf) OVER w AS second FROM (
+        SELECT *, CASE WHEN place THEN least(1.0, raised + 0.05) ELSE raised END AS conf FROM (
+          SELECT *, greatest(base, CASE WHEN byline THEN 0.92 ELSE 0 END, CASE WHEN title THEN 0.8 ELSE 0 END, CASE WHEN joint THEN 0.85 ELSE 0 END)::DOUBLE AS raised,
+            byline OR title OR joint AS hard FROM ({pool})))
+        WINDOW w AS (PARTITION BY k ORDER BY hard DESC, conf DESC, place DESC, pos)) WHERE nth = 1"""
+
+
+ORACLE_SQL["resolve_by_evidence"] = f"""WITH c AS (SELECT DISTINCT c_custkey AS k, c_custkey // 4 AS p FROM customer),
+  pool AS (SELECT k, p, pos, 2 * k + pos AS x, k % 5 = 0 AND pos = 1 AS byline, k % 5 = 1 AND pos = 1 AS title,
+      EXISTS (FROM c o WHERE o.k = xor(c.k, 1)) AND CASE WHEN pos = 1 THEN k % 5 = 2 ELSE xor(k, 1) % 5 = 2 END AS joint,
+      pos = 0 AND k % 5 >= 3 AND EXISTS (FROM c o WHERE o.p = c.p AND o.k <> c.k AND o.k % 5 >= 3) AS place,
+      CASE WHEN pos = 0 THEN 0.8571 WHEN k % 5 = 0 THEN 0.6667 WHEN k % 5 = 1 THEN 0.7692 ELSE 0.8148 END AS base
+    FROM c, (VALUES (0), (1)) v(pos)),
+  once AS ({_decided("FROM pool")}),
+  probed AS (SELECT c.k, o.author, row_number() OVER (PARTITION BY c.k ORDER BY o.k) AS nth FROM c JOIN once o ON o.status = 'mapped' AND o.k // 4 = c.p AND o.k <> c.k),
+  pairs AS (SELECT 2 * k + 1 AS a, 2 * xor(k, 1) AS b FROM c WHERE k % 7 = 0),
+  again AS (SELECT * REPLACE (joint OR (NOT byline AND EXISTS (FROM probed o JOIN pairs ON (a = pool.x AND b = o.author) OR (b = pool.x AND a = o.author)
+    WHERE o.k = pool.k AND nth <= 2)) AS joint) FROM pool)
+  SELECT left(md5('n' || k), 16) AS query_name, 'A' || author AS author_id, round(conf, 4) AS confidence, status FROM ({_decided("FROM again")})"""

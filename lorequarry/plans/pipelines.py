@@ -181,7 +181,15 @@ def author_bundle(query: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[
         "authors": found,
         "papers": graph.author_papers(found, nodes, edges).orderBy("author_id", *ranking.year_asc("year", "paper_id")),
         "institutions": graph.author_institutions(found, nodes, edges),
-        "coauthors": graph.coauthors(found, edges),
+        "coauthors": graph.coauthor_paths(found, nodes, edges).orderBy("author_id", "name", "coauthor_id", "paper_id"),
+    }
+
+
+def method_bundle(query: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """All methods of a like name, best match first, and the papers against them."""
+    return {
+        "methods": graph.match_names(query, graph.labels(nodes, "method")).orderBy("query", F.col("score").desc(), "seq", "id"),
+        "papers": graph.papers_criticising(query, nodes, edges).orderBy("query", *ranking.year_asc("year", "paper_id")),
     }
 
 

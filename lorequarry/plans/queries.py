@@ -8,7 +8,7 @@ label is their paper.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.config import CHAT_MODEL, EMBED_MODEL, TOP_K, VECTOR_CHUNKS
@@ -200,6 +200,12 @@ def coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("author_id", "coauthor_id", F.size("papers").cast("bigint").alias("n_papers"), F.array_join("papers", ",").alias("papers"))
 
 
+def coauthor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two hops from three stated authors to their coauthors."""
+    nodes, edges = _stored_graph(spark, sf_dir)
+    return graph.coauthor_paths(spark.createDataFrame([("A3",), ("A5",), ("A999999999",)], "author_id string"), nodes, edges)
+
+
 def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers of the coauthors of the author with id A7, without that author's own."""
     nodes, edges = _stored_graph(spark, sf_dir)
@@ -269,6 +275,53 @@ def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(rest.select("query_name", "author_id", F.round("confidence", 4).alias("confidence"), F.array_join("aliases", "|").alias("aliases"), F.col("reason").alias("status")))
 
 
+def resolve_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as names, four to a paper, with two candidates of like names each:
+    bylines, titles, shared works, institutions and known joint works, dealt out by
+    key, tell them apart, or nothing does.  Names, titles, works and places are hashes,
+    which are alike only if they are equal."""
+    k, rows = F.col("c_custkey"), table(spark, sf_dir, "customer").select("c_custkey").distinct()
+    paper, beside, case = F.floor(k / 4), k.bitwiseXOR(F.lit(1)), k % 5
+    digest = lambda tag, x: F.substring(F.md5(F.concat(F.lit(tag), x.cast("string")).cast("binary")), 1, 16)
+    author = lambda x: F.concat(F.lit("A"), x.cast("string"))
+    name, on = digest("n", k), F.concat(F.lit("P"), paper.cast("string"))
+    part = lambda n: F.left(name, F.lit(n))
+    first = [
+        F.lit(0).alias("pos"), author(2 * k).alias("author_id"), part(12).alias("display_name"), F.when(case >= 3, digest("i", paper)).otherwise("").alias("institution"),
+        F.lit(2).alias("works"), F.lit(1.0).alias("score"), F.array(digest("w", k), F.when(beside % 5 == 2, digest("s", beside)).otherwise("")).alias("top_5_works"),
+    ]
+    second = [
+        F.lit(1).alias("pos"), author(2 * k + 1).alias("author_id"), F.when(case == 1, part(10)).otherwise(part(11)).alias("display_name"), F.lit("").alias("institution"),
+        F.lit(1).alias("works"), F.lit(1.0).alias("score"), F.array(F.when(case == 1, digest("t", paper)).when(case == 2, digest("s", k)).otherwise("")).alias("top_5_works"),
+    ]
+    names = rows.select(name.alias("query_name"), on.alias("arxiv_id"), k.alias("seq"))
+    candidates = rows.select(name.alias("query_name"), *first).unionByName(rows.select(name.alias("query_name"), *second))
+    bylines = rows.where(case == 0).select(
+        on.alias("arxiv_id"), F.lit(0).alias("pos"), author(2 * k + 1).alias("author_id"), part(8).alias("display_name"), name.alias("raw_author_name"), F.lit("").alias("institution")
+    )
+    titles = rows.select(on.alias("arxiv_id"), digest("t", paper).alias("title")).distinct()
+    ends = (author(2 * k + 1), author(2 * beside))
+    joint = rows.where(k % 7 == 0).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    mapping, rest = resolve.resolve(names, candidates, bylines, titles, joint)
+    columns = ["query_name", "author_id", F.round("confidence", 4).alias("confidence")]
+    return mapping.select(*columns, F.lit("mapped").alias("status")).unionByName(rest.select(*columns, F.col("reason").alias("status")))
+
+
+def author_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as names, their suppliers as what a search returns, by account balance;
+    a supplier's works are its parts, cited as often as they are in store."""
+    suppliers = table(spark, sf_dir, "supplier")
+    order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
+    found = suppliers.select(
+        F.col("s_nationkey").cast("string").alias("query_name"), (order - 1).alias("pos"), F.concat(F.lit("A"), "s_suppkey").alias("author_id"), F.col("s_name").alias("display_name"),
+        F.lit("").alias("institution"), (F.col("s_suppkey") % 7).cast("int").alias("works"), ((F.col("s_suppkey") % 3) / 10).alias("score"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("cited_by"))
+    works = lines.select(F.concat(F.lit("A"), "l_suppkey").alias("author_id"), F.concat(F.lit("part "), "l_partkey").alias("title"), "cited_by")
+    kept = resolve.first_candidates(found, works)
+    return kept.select("query_name", F.col("pos").cast("bigint").alias("pos"), "author_id", F.array_join("top_5_works", "|").alias("top_5_works"))
+
+
 # --- text ---------------------------------------------------------------------------
 
 
@@ -423,8 +476,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_prefilter, vector_topk_postfilter, paper_rank_from_chunks, rrf_fusion, weighted_fusion, context_or_card, filtered_catalog,
-        year_filtered_list, graph_nodes, graph_edges, graph_summary, author_papers, author_institution, papers_criticizing, coauthors, multi_hop,
-        graph_signal_ranking, name_match_tiered, token_sort_score, token_set_score, unique_names, resolve_entities, naive_chunks, merge_pieces, section_buckets,
+        year_filtered_list, graph_nodes, graph_edges, graph_summary, author_papers, author_institution, papers_criticizing, coauthors, coauthor_paths, multi_hop,
+        graph_signal_ranking, name_match_tiered, token_sort_score, token_set_score, unique_names, resolve_entities, resolve_by_evidence, author_candidates, naive_chunks, merge_pieces, section_buckets,
         html_extract, paper_blob, json_extract, entity_records, author_papers_or_note, cost_savings, status_counts, jsonl_tolerant, cache_probe, upsert_chunks, cost_report, recall_at_k,
     )
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,29 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(is_pdf(F.col("content"))).select(stem_id(F.element_at(F.split("path", "/"), -1)).alias("arxiv_id"), "content")
 
 
+def pdf_texts(pdfs: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+    """``arxiv_id, status, n_pages, text`` of ``pdf_files``: the texts of the pages,
+    joined by line breaks.  ``pages_of`` is a PDF library's; a file that it cannot read
+    gives status ``failed`` and no text, one without any text ``empty``."""
+    schema = pa.schema([("arxiv_id", pa.string()), ("status", pa.string()), ("n_pages", pa.int32()), ("text", pa.string())])
+
+    def read(content: bytes) -> tuple[str, int, str | None]:
+        try:
+            pages = [page or "" for page in pages_of(content)]
+        except Exception:  # the library's own errors are not known here
+            return "failed", 0, None
+        text = "\n".join(pages)
+        return ("ok" if text.strip() else "empty"), len(pages), text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for paper, content in zip(batch["arxiv_id"].to_pylist(), batch["content"], strict=True):
+                status, n, text = read(content.as_py() or b"")
+                yield pa.RecordBatch.from_pydict({"arxiv_id": [paper], "status": [status], "n_pages": [n], "text": [text]}, schema=schema)
+
+    return pdfs.select("arxiv_id", "content").mapInArrow(run, "arxiv_id string, status string, n_pages int, text string")
+
+
 def search_results(rows: DataFrame) -> DataFrame:
     """Papers from search results ``entry_id, title, authors, published, summary``."""
     return rows.select(

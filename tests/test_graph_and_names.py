@@ -44,6 +44,14 @@ def test_hops(spark, built):
     assert {r.path for r in graph.author_papers(one, nodes, edges).collect()} == {"author:A1 — YAZDI — paper:2401.1v1", "author:A1 — YAZDI — paper:1901.2v1"}
     assert [r.institution for r in graph.author_institutions(one, nodes, edges).collect()] == ["Lab"]
     assert [(r.paper_id, r.method_id) for r in graph.papers_criticising(ask("gnn"), nodes, edges).collect()] == [("1901.2v1", "GNN")]
+    assert [r.path for r in graph.papers_criticising(ask("gnn"), nodes, edges).collect()] == ["paper:1901.2v1 — ELEŞTİRİYOR — method:GNN"]
+    bundle = pipelines.author_bundle(ask("A1"), nodes, edges)
+    assert [(r.name, r.path) for r in bundle["coauthors"].collect()] == [
+        ("Bo Li", "author:A1 — YAZDI — paper:2401.1v1 — YAZDI — author:A2"), ("Cy Na", "author:A1 — YAZDI — paper:1901.2v1 — YAZDI — author:A3"),
+    ]
+    methods = pipelines.method_bundle(ask("gnn"), nodes, edges)
+    assert [(r.id, r.score) for r in methods["methods"].collect()] == [("GNN", 1.0)]
+    assert [r.paper_id for r in methods["papers"].collect()] == ["1901.2v1"]
     two = spark.createDataFrame([("A2",)], "author_id string")
     assert [(r.coauthor_id, r.paper_id) for r in graph.coauthor_papers(two, nodes, edges).collect()] == [("A1", "1901.2v1")]
 
@@ -109,6 +117,28 @@ def test_resolve(spark):
     assert {r.query_name: (r.author_id, r.confidence) for r in mapping.collect()}["Cy Na"] == ("A9", 1.0)
 
 
+def test_joint_works_are_sought_with_resolved_peers(spark):
+    names = spark.createDataFrame([("Cy Na", "p", 1), ("Ada Byron", "p", 2)], "query_name string, arxiv_id string, seq int")
+    cand = spark.createDataFrame(
+        [("Cy Na", 0, "A4", "Cy Na", "", 1, 1.0, []), ("Cy Na", 1, "A5", "Cy Na", "", 1, 1.0, []), ("Ada Byron", 0, "A1", "Ada Byron", "", 1, 1.0, [])],
+        "query_name string, pos int, author_id string, display_name string, institution string, works int, score double, top_5_works array<string>",
+    )
+    bylines = spark.createDataFrame([], "arxiv_id string, pos int, author_id string, display_name string, raw_author_name string, institution string")
+    titles = spark.createDataFrame([("p", "Title")], "arxiv_id string, title string")
+    found = lambda pairs: {r.query_name: r.author_id for r in resolve.resolve(names, cand, bylines, titles, spark.createDataFrame(pairs, "a string, b string"))[0].collect()}
+    assert found([("A1", "A5")]) == {"Cy Na": "A5", "Ada Byron": "A1"}
+    assert found([("A2", "A5")]) == {"Ada Byron": "A1"}
+
+
+def test_first_candidates(spark):
+    found = spark.createDataFrame(
+        [("n", k, f"A{k}" if k != 1 else "", "N", "", k, 0.5) for k in range(7)], "query_name string, pos int, author_id string, display_name string, institution string, works int, score double"
+    )
+    works = spark.createDataFrame([("A2", f"w{k}", k) for k in range(7)] + [("A2", "", 99), ("A3", "x", None)], "author_id string, title string, cited_by int")
+    got = [(r.author_id, r.pos, r.top_5_works) for r in resolve.first_candidates(found, works).orderBy("pos").collect()]
+    assert got == [("A4", 0, []), ("A3", 1, ["x"]), ("A2", 2, ["w6", "w5", "w4", "w3", "w2"]), ("A0", 3, [])]
+
+
 def test_paper_matching(spark):
     papers = spark.createDataFrame([("p1", "A Study of Things", "d1"), ("p2", "Deep Graph Learning", None)], "arxiv_id string, title string, doi string")
     works = spark.createDataFrame(

@@ -92,3 +92,45 @@ def test_stream_upserts_each_file_once(spark, tmp_path):
         ingest.upsert_stream(ingest.file_stream(spark, src, "k string, v int"), out, ck, "k").awaitTermination()
     got = spark.read.parquet(ingest.current_version(spark, out))
     assert {(r.k, r.v) for r in got.collect()} == {("a", 1), ("b", 2), ("c", 2)}
+
+
+def test_pdf_texts(spark):
+    pdfs = spark.createDataFrame([("a", b"one|two"), ("b", b""), ("c", b"!")], "arxiv_id string, content binary")
+
+    def pages_of(content):
+        if content == b"!":
+            raise ValueError("damaged")
+        return [None if not page else page.decode() for page in content.split(b"|")]
+
+    got = {r.arxiv_id: (r.status, r.n_pages, r.text) for r in readers.pdf_texts(pdfs, pages_of).collect()}
+    assert got == {"a": ("ok", 2, "one\ntwo"), "b": ("empty", 1, ""), "c": ("failed", 0, None)}
+
+
+def test_retries_wait_only_when_asked_to_slow_down(monkeypatch):
+    waits = []
+    monkeypatch.setattr(services.time, "sleep", waits.append)
+    answers = iter([services.TooManyRequests(), ValueError(), "yes"])
+
+    def call(request):
+        answer = next(answers)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert services.with_retries(call, pause=1.0)("x") == "yes"
+    assert waits == [3.0, 1.0]
+
+
+def test_two_timeouts_in_a_row_stop_a_service():
+    asked = []
+
+    def call(request):
+        asked.append(request)
+        if request == "slow":
+            raise TimeoutError
+        return "" if request == "empty" else request
+
+    tried = services.until_timeouts(call, lambda: True)
+    assert [tried(r) for r in ("slow", "a", "slow", "empty", "slow", "slow", "b")] == [None, "a", None, None, None, None, None]
+    assert "b" not in asked
+    assert services.until_timeouts(call, lambda: False)("a") is None
