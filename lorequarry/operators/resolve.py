@@ -229,9 +229,10 @@ def resolve(names: DataFrame, candidates: DataFrame, authorships: DataFrame, tit
     """
     cleaned = names.withColumn("query_name", clean_text(F.col("query_name")))
     ordered = order_candidates(candidates)
-    pool = candidate_pool(cleaned, ordered, authorships)
-    found = decide(score_pool(cleaned, pool, ordered, authorships, titles), cleaned)
+    # Both are read several times, and their scores are dear: each is written once.
+    pool = spool(candidate_pool(cleaned, ordered, authorships), "pool")
+    found = decide(spool(score_pool(cleaned, pool, ordered, authorships, titles), "scored"), cleaned)
     if joint_pairs is None:
         return found
-    resolved = spool(found[0].select("query_name", "author_id"), "resolved")
-    return decide(score_pool(cleaned, pool, ordered, authorships, titles, joint_pairs, resolved), cleaned)
+    resolved = found[0].select("query_name", "author_id")
+    return decide(spool(score_pool(cleaned, pool, ordered, authorships, titles, joint_pairs, resolved), "scored-again"), cleaned)
