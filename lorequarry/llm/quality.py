@@ -214,85 +214,6 @@ def good_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return keep_rows(docs, lambda keyed: score_rows(keyed, model).where(F.col("score") >= THRESHOLD))
 
 
-def score(self, ids: np.ndarray, values: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.logit(ids, values)))))
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> FactorisationMachine:
-    """Fit by Adam on the logistic loss, all rows at each step.  No rows: scores of one half."""
-    width = BUCKETS + len(STATISTICS)
-    rng = np.random.default_rng(seed)
-    if not len(rows):
-        return FactorisationMachine(0.0, np.zeros(width, np.float32), np.zeros((width, RANK), np.float32))
-    x = np.zeros((len(rows), width), np.float32)
-    for k, (ids, values) in enumerate(rows):
-        x[k, ids] = values
-    x2 = np.square(x)
-    y = labels.astype(np.float32)
-    share = float(np.clip(y.mean(), 0.01, 0.99))
-    params = [np.float32([math.log(share / (1 - share))]), np.zeros(width, np.float32), rng.normal(0, 0.05, (width, RANK)).astype(np.float32)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, STEPS + 1):
-        bias, linear, factors = params
-        inner = x @ factors
-        pairs = (np.square(inner).sum(1) - x2 @ np.square(factors).sum(1)) / 2
-        gap = (1 / (1 + np.exp(-np.clip(bias + x @ linear + pairs, -30, 30))) - y) / len(y)
-        grads = [
-            gap.sum(keepdims=True),
-            x.T @ gap + DECAY * linear,
-            x.T @ (inner * gap[:, None]) - factors * (x2.T @ gap)[:, None] + DECAY * factors,
-        ]
-        for p, g, m, v in zip(params, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return FactorisationMachine(float(params[0][0]), params[1], params[2])
-
-
-def fold_of(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo the folds; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
-
-
-def _features(rows: DataFrame, keep: str) -> DataFrame:
-    schema = T.StructType(
-        [rows.schema[keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))]
-    )
-    held: list[Featurizer] = []
-
-    def step(cols: dict[str, pa.Array]) -> dict[str, object]:
-        featurize = held[0] if held else (held.append(Featurizer()) or held[0])
-        made = [featurize(t, n) for t, n in zip(cols["text"].to_pylist(), cols["n_chars"].to_pylist(), strict=True)]
-        return {keep: cols[keep], "ids": [m[0] for m in made], "values": [m[1] for m in made]}
-
-    return map_batches(rows, step, schema)
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on labelled rows outside the held-out fold: at most ``sample`` ids, and of
-    documents that share an id at most as many rows again.
-
-    A document with several labels counts as good if any says so; null labels are
-    left out.
-    """
-    marks = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .where(fold_of(F.col("doc_id")) != HELD_OUT_FOLD)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    # At most ``sample`` ids: small enough to broadcast whatever the input.
-    joined = pick(docs, "doc_id", "text", "n_chars").join(F.broadcast(marks), "doc_id").select("quality", "text", "n_chars")
-    found = _features(joined, "quality").limit(2 * sample).toArrow()
-    rows = [
-        (np.asarray(i, np.int32), np.asarray(v, np.float32))
-        for i, v in zip(found["ids"].to_pylist(), found["values"].to_pylist(), strict=True)
-    ]
-    return fit(rows, np.array(found["quality"].to_pylist()))
-
-
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
