@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.llm import chat, decontaminate, html, lm, pieces, quality, rules, shards, simhash, urls
+from lorequarry.llm import chat, decontaminate, exact, golden, html, lm, pieces, quality, rules, shards, simhash, urls, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden_records(_table(spark, sf_dir, "clients"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,8 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op2_simhash, op3_chat, op4_quality, op5_rules, op6_html, op7_pieces, op8_shards, op9_urls, op10_lm, pipeline,
+        op1_decontaminate, op2_simhash, op3_chat, op4_quality, op5_rules, op6_html, op7_pieces, op8_shards, op9_urls, op10_lm, op11_whitening,
+        op12_exact, op13_golden, pipeline,
     )
 }
 
-ORACLE_SQL = {"op3_chat": chat.DIGEST_SQL}
+ORACLE_SQL = {"op3_chat": chat.DIGEST_SQL, "op12_exact": exact.DUPLICATES_SQL, "op13_golden": golden.GOLDEN_SQL}
