@@ -17,9 +17,10 @@ from lorequarry.config import (
     TOPIC_TITLE_POINTS, WORKS_AT, WROTE, YEAR_POINTS,
 )
 from lorequarry.functions.text import (
-    clean_text, distinct_ignoring_case, longest_label, name_labels, strip_version, tiered_name_score, title_score, year_from_paper_id,
+    clean_text, distinct_ignoring_case, longest_label, name_labels, strip_version, year_from_paper_id,
 )
 from lorequarry.operators.filters import year_ok
+from lorequarry.operators.fuzzy import like_names, like_titles
 from lorequarry.operators.ranking import first_per_key, meet
 from lorequarry.scratch import spool
 
@@ -146,12 +147,11 @@ def labels(nodes: DataFrame, kind: str) -> DataFrame:
 def match_names(queries: DataFrame, labelled: DataFrame, least: float = NAME_MATCH) -> DataFrame:
     """``query, id, score, seq`` of the nodes whose best label reaches ``least``.
 
-    ``queries`` (``query``) are a stated set, taken in blocks that are broadcast; each
-    label is scored against each of them, cheap tiers first.
+    Labels are looked up by what a like name shares with them, each spelling once,
+    however many nodes have it; see ``fuzzy.like_names``.
     """
-    met = meet(labelled, queries.select("query").distinct(), "query")
-    scored = met.withColumn("score", tiered_name_score(F.col("query"), F.col("label"))).where(F.col("score") >= least)
-    return scored.groupBy("query", "id").agg(F.max("score").alias("score"), F.min("seq").alias("seq"))
+    found = like_names(queries.select("query"), labelled.select("label"), least)
+    return found.join(labelled, "label").groupBy("query", "id").agg(F.max("score").alias("score"), F.min("seq").alias("seq"))
 
 
 def find_authors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -269,27 +269,23 @@ def rank_by_signals(entities: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     """
     papers = _papers(nodes)
 
-    def asked(column: str) -> DataFrame:
-        return entities.where(F.col(column).isNotNull()).select("query_id", F.col(column).alias("query"))
+    def asked(column: str, kept: Column) -> DataFrame:
+        return entities.where(F.col(column).isNotNull() & kept).select("query_id", F.col(column).alias("query"))
 
-    def met(column: str, kind: str) -> DataFrame:
-        wanted = asked(column)
-        return wanted.join(match_names(wanted, labels(nodes, kind)), "query").select("query_id", "id")
+    def met(wanted: DataFrame, kind: str) -> DataFrame:
+        """Like nodes of all names asked for, matched at once and written once."""
+        return spool(wanted.join(match_names(wanted, labels(nodes, kind)), "query").drop("score", "seq"), "met")
 
     wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("id"), F.col("dst_id").alias("paper_id"))
-    about = {
-        r: _hop(edges, r, "paper", "method").select(F.col("dst_id").alias("id"), F.col("src_id").alias("paper_id")) for r in (CRITICISES, PROPOSES)
-    }
-    topics = entities.where("topic is not null and (method is null or lower(topic) <> lower(method))").select("query_id", F.col("topic").alias("query"))
-    topic_methods = topics.join(match_names(topics, labels(nodes, "method")), "query").select("query_id", "id")
-    signals = [
-        met("author_name", "author").join(wrote, "id").select("query_id", "paper_id", F.lit(AUTHOR_POINTS).alias("points")),
-        met("method", "method").join(about[CRITICISES], "id").select("query_id", "paper_id", F.lit(CRITICISES_POINTS).alias("points")),
-        met("method", "method").join(about[PROPOSES], "id").select("query_id", "paper_id", F.lit(PROPOSES_POINTS).alias("points")),
-        *(topic_methods.join(a, "id").select("query_id", "paper_id", F.lit(TOPIC_METHOD_POINTS).alias("points")) for a in about.values()),
-        meet(papers, topics, "query_id").where(title_score(F.col("query"), F.col("title")) >= TITLE_MIN)
-        .select("query_id", "paper_id", F.lit(TOPIC_TITLE_POINTS).alias("points")),
-    ]
+    authors = met(asked("author_name", F.lit(True)), "author").join(wrote, "id").select("query_id", "paper_id", F.lit(AUTHOR_POINTS).alias("points"))
+    topics = asked("topic", F.col("method").isNull() | (F.lower("topic") != F.lower("method")))
+    wanted = asked("method", F.lit(True)).withColumn("as", F.lit("method")).unionByName(topics.withColumn("as", F.lit("topic")))
+    about = edges.where(F.col("relation").isin(CRITICISES, PROPOSES) & (F.col("src_kind") == "paper") & (F.col("dst_kind") == "method"))
+    worth = F.when(F.col("as") == "topic", TOPIC_METHOD_POINTS).when(F.col("relation") == CRITICISES, CRITICISES_POINTS).otherwise(PROPOSES_POINTS)
+    methods = met(wanted, "method").join(about, F.col("id") == F.col("dst_id")).select("query_id", F.col("src_id").alias("paper_id"), worth.alias("points"))
+    titles = like_titles(topics.select("query"), papers.select(F.col("title").alias("label")), TITLE_MIN).select("query", F.col("label").alias("title"))
+    titled = topics.join(titles, "query").join(papers, "title").select("query_id", "paper_id", F.lit(TOPIC_TITLE_POINTS).alias("points"))
+    signals = [authors, methods, titled]
     bounds = entities.select("query_id", "year_min")
     gated = (
         reduce(DataFrame.unionByName, signals).join(papers, "paper_id").join(bounds, "query_id")

@@ -8,6 +8,8 @@ raw_author_name, institution``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,29 +135,14 @@ def is_ambiguous(conf: Column, hard: Column, second: Column) -> Column:
     return F.when(conf < CONFIDENCE_MIN, True).when(hard, False).otherwise(F.coalesce(close, F.lit(False)))
 
 
-def known_joint(names: DataFrame, peers: DataFrame, off_paper: DataFrame, joint_pairs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``query_name, author_id`` of ``off_paper`` with a known joint work (``a < b``)
-    with the author of one of the name's first ``PEERS_PROBED`` resolved peers."""
-    peer = resolved.select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id"))
-    seen = names.groupBy(F.col("query_name").alias("peer")).agg(F.min("seq").alias("at"))
-    probed = top_per_group(peers.join(peer, "peer").join(seen, "peer"), ["query_name"], [F.col("at"), F.col("peer")], PEERS_PROBED)
-    pairs = off_paper.join(probed.select("query_name", "peer_id"), "query_name").where("author_id <> peer_id")
-    same = (F.least("author_id", "peer_id") == F.col("a")) & (F.greatest("author_id", "peer_id") == F.col("b"))
-    return pairs.join(joint_pairs, same, "left_semi").select("query_name", "author_id")
-
-
-def score_pool(
-    names: DataFrame, pool: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame,
-    joint_pairs: DataFrame | None = None, resolved: DataFrame | None = None,
-) -> DataFrame:
+def score_pool(names: DataFrame, pool: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame) -> DataFrame:
     """``pool`` with evidence, ``confidence`` and ``hard``.
 
     ``titles``: ``arxiv_id, title``.  Evidence: on the byline of one of the name's
     papers; a top work titled like one of them; a top work shared with a co-listed
-    name's first two candidates, or, for authors not on the byline, a known joint work
-    (``joint_pairs``) with what co-listed names were ``resolved`` to; an institution
-    like one on the papers or of the first candidates of co-listed names.
-    """
+    name's first two candidates; an institution like one on the papers or of the first
+    candidates of co-listed names.
+    """
     key = ["query_name", "author_id"]
     mine = names.select("query_name", "arxiv_id").distinct()
     on_paper = mine.join(authorships.select("arxiv_id", "author_id").distinct(), "arxiv_id").select(*key).distinct().withColumn("same_paper", F.lit(True))
@@ -168,9 +155,6 @@ def score_pool(
     peer_firsts = peers.join(candidates.where("pos < 2").select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id"), "pos", F.col("institution").alias("peer_place"), F.col("top_5_works").alias("peer_works")), "peer")
     peer_titles = peer_firsts.select("query_name", F.explode("peer_works").alias("w")).select("query_name", name_key(F.col("w")).alias("work_key")).where("work_key <> ''").distinct()
     shared = own_works.withColumn("work_key", name_key(F.col("work"))).join(peer_titles, ["query_name", "work_key"]).select(*key).distinct()
-    if joint_pairs is not None and resolved is not None:
-        off_paper = pool.select(*key).join(on_paper.select(*key), key, "left_anti")
-        shared = shared.unionByName(known_joint(names, peers, off_paper, joint_pairs, resolved)).distinct()
     places = mine.join(authorships, "arxiv_id").select("query_name", "institution").unionByName(peer_firsts.where("pos = 0").select("query_name", F.col("peer_place").alias("institution")))
     places = places.where(F.coalesce("institution", F.lit("")) != "").distinct().withColumnRenamed("institution", "place")
     agreed = (
@@ -185,6 +169,11 @@ def score_pool(
         pool["*"], *(flag(F.col(c)).alias(c) for c in ("same_paper", "title_overlap", "joint", "institution_agree")),
         name_score(F.col("query_name"), F.col("display_name")).alias("name_score"),
     )
+    return with_confidence(scored)
+
+
+def with_confidence(scored: DataFrame) -> DataFrame:
+    """``confidence``, ``hard`` and ``evidence`` by a row's name score and evidence."""
     evidence = F.array_compact(
         F.array(
             F.concat(F.lit("name:"), F.format_string("%.4f", "name_score")),
@@ -193,23 +182,28 @@ def score_pool(
             F.when(F.col("institution_agree"), F.lit("institution")),
         )
     )
-    return scored.select(
-        "*",
-        confidence(F.col("name_score"), F.col("same_paper"), F.col("title_overlap"), F.col("joint"), F.col("institution_agree")).alias("confidence"),
-        (F.col("same_paper") | F.col("title_overlap") | F.col("joint")).alias("hard"),
-        evidence.alias("evidence"),
+    return scored.withColumns(
+        {
+            "confidence": confidence(F.col("name_score"), F.col("same_paper"), F.col("title_overlap"), F.col("joint"), F.col("institution_agree")),
+            "hard": F.col("same_paper") | F.col("title_overlap") | F.col("joint"),
+            "evidence": evidence,
+        }
     )
 
 
-def decide(scored: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The mapping (``query_name, author_id, confidence, institution, aliases``) and
-    what stays unresolved, with the reason and evidence."""
+def judge(scored: DataFrame, names: DataFrame) -> DataFrame:
+    """The best of each name's pool, and if it is ``ambiguous`` (null: an empty pool)."""
     order = [F.col("hard").desc(), F.col("confidence").desc(), F.col("institution_agree").desc(), F.col("pos")]
     over = Window.partitionBy("query_name").orderBy(*order)
     ranked = scored.withColumn("nth", F.row_number().over(over)).withColumn("second", F.lead("confidence").over(over)).where("nth = 1")
-    judged = names.select("query_name").distinct().join(ranked, "query_name", "left").select(
+    return names.select("query_name").distinct().join(ranked, "query_name", "left").select(
         "*", F.when(F.col("author_id").isNotNull(), is_ambiguous(F.col("confidence"), F.col("hard"), F.col("second"))).alias("ambiguous")
     )
+
+
+def decide(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mapping (``query_name, author_id, confidence, institution, aliases``) and
+    what stays unresolved, with the reason and evidence."""
     record = ["query_name", "author_id", "confidence", "institution", aliases_of(F.col("query_name"), F.col("display_name")).alias("aliases")]
     reason = (
         F.when(F.col("author_id").isNull(), F.lit("no_candidates"))
@@ -221,18 +215,49 @@ def decide(scored: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapping, rest
 
 
-def resolve(names: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame, joint_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Names to authors, all at once and in no order.
+def judge_in_order(names: DataFrame, scored: DataFrame, joint_pairs: DataFrame) -> DataFrame:
+    """``judge`` with known joint works (``a < b``), as if names were judged one by one
+    in the order in which they are first seen.
 
-    Known joint works are sought in a second pass, with the authors that the first has
-    found for co-listed names; a pass name by name would see only names before it.
+    A candidate that is on none of the name's papers, and has no other joint work, is
+    looked up with the authors of the first ``PEERS_PROBED`` mentions beside the name
+    whose names come earlier and are resolved by then.  Only a name that has a candidate
+    with a known joint work with a candidate of such a peer can be judged otherwise
+    for it; all others are judged at once.  Those are judged in rounds, each name once no
+    earlier name beside it waits; rounds are as many as the longest chain of them.
     """
+    order = names.groupBy("query_name").agg(F.min(F.struct("seq", "query_name")).alias("first"))
+    mentions = names.select("query_name", "arxiv_id").distinct().join(names.select(F.col("query_name").alias("peer"), "arxiv_id", F.col("seq").alias("at")), "arxiv_id")
+    beside = mentions.where("peer <> query_name").join(order, "query_name").join(order.select(F.col("query_name").alias("peer"), F.col("first").alias("peer_first")), "peer")
+    earlier = beside.where("peer_first < first").select("query_name", "peer", "at")
+    open_pairs = scored.where("not same_paper and not joint").select("query_name", "author_id")
+    both_ways = joint_pairs.select(F.col("a").alias("author_id"), F.col("b").alias("peer_id")).union(joint_pairs.select("b", "a")).distinct()
+    linked = open_pairs.join(both_ways, "author_id").join(scored.select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id")), "peer_id")
+    waiting = spool(linked.join(earlier, ["query_name", "peer"], "left_semi").select("query_name").distinct(), "waiting")
+    beside_waiting = spool(earlier.join(waiting, "query_name", "left_semi"), "beside")
+    probes = spool(open_pairs.join(waiting, "query_name", "left_semi").join(both_ways, "author_id"), "probes")
+    at_once = names.join(waiting, "query_name", "left_anti")
+    done = [spool(judge(scored.join(waiting, "query_name", "left_anti"), at_once), "judged")]
+    while not waiting.isEmpty():
+        held_up = beside_waiting.join(waiting.select(F.col("query_name").alias("peer")), "peer").select("query_name").distinct()
+        ready = spool(waiting.join(held_up, "query_name", "left_anti"), "ready")
+        resolved = reduce(DataFrame.unionByName, done).where("not ambiguous").select(F.col("query_name").alias("peer"), F.col("author_id").alias("peer_id"))
+        seen = beside_waiting.join(ready, "query_name", "left_semi").join(resolved, "peer")
+        probed = top_per_group(seen, ["query_name"], [F.col("at"), F.col("peer")], PEERS_PROBED).select("query_name", "peer_id").distinct()
+        found = probes.join(probed, ["query_name", "peer_id"], "left_semi").select("query_name", "author_id", F.lit(True).alias("probed")).distinct()
+        pool = scored.join(ready, "query_name", "left_semi").join(found, ["query_name", "author_id"], "left")
+        raised = with_confidence(pool.withColumn("joint", F.col("joint") | F.coalesce("probed", F.lit(False))).drop("probed"))
+        done.append(spool(judge(raised, ready), "judged"))
+        waiting = spool(waiting.join(ready, "query_name", "left_anti"), "waiting")
+    return reduce(DataFrame.unionByName, done)
+
+
+def resolve(names: DataFrame, candidates: DataFrame, authorships: DataFrame, titles: DataFrame, joint_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Names to authors.  With ``joint_pairs`` names are judged in the order in which
+    they are first seen, in parallel as far as that allows; see ``judge_in_order``."""
     cleaned = names.withColumn("query_name", clean_text(F.col("query_name")))
     ordered = order_candidates(candidates)
     # Both are read several times, and their scores are dear: each is written once.
     pool = spool(candidate_pool(cleaned, ordered, authorships), "pool")
-    found = decide(spool(score_pool(cleaned, pool, ordered, authorships, titles), "scored"), cleaned)
-    if joint_pairs is None:
-        return found
-    resolved = found[0].select("query_name", "author_id")
-    return decide(spool(score_pool(cleaned, pool, ordered, authorships, titles, joint_pairs, resolved), "scored-again"), cleaned)
+    scored = spool(score_pool(cleaned, pool, ordered, authorships, titles), "scored")
+    return decide(judge(scored, cleaned) if joint_pairs is None else judge_in_order(cleaned, scored, joint_pairs))

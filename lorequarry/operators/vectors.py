@@ -1,22 +1,35 @@
 """Embedding bookkeeping and exact vector search.
 
-Search is brute force over a stated set of questions: each question meets every
-vector once.  Questions are broadcast where they are few, and otherwise taken in
-blocks, so what is broadcast has a bound and no pair outlives its top-k.
+Search is brute force over a stated set of questions, in one pass over the vectors:
+the questions are a broadcast matrix of a bounded size, each task multiplies its
+rows, a batch and a block of questions at a time, and keeps the best of each
+question.  Questions beyond that size take another pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from lorequarry.config import CANDIDATES, EMBED_BATCH, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions.text import content_key
-from lorequarry.operators.ranking import ASKED_A_BLOCK, in_blocks, top_per_group
+from lorequarry.operators.ranking import top_per_group
+
+#: Questions that are broadcast at once: so many bytes of doubles.
+QUESTION_BYTES = 64 << 20
+#: Questions and rows that are multiplied at once.
+BLOCK_QUESTIONS, BLOCK_ROWS = 1024, 4096
+#: By how much a product of matrices may differ from the distance that decides.
+SLACK = 1e-9
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -29,8 +42,169 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - _dot(a, b) / F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
 
 
-def _unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.nullif(F.sqrt(_dot(v, v)), F.lit(0.0)))
+@dataclass(frozen=True)
+class Questions:
+    """A part of a stated set: ids and vectors; ``lists`` are those that each probes."""
+
+    ids: pa.Array
+    vectors: np.ndarray
+    lengths: np.ndarray
+    lists: np.ndarray | None = None
+
+
+def matrix(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``d`` entries as doubles, and which are of that kind; the others,
+    null, of another length or with an entry that is null or not finite, are zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    usable = pc.fill_null(pc.equal(pc.list_value_length(column), d), False).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column.filter(pa.array(usable))).cast(pa.float64())
+    found = np.zeros((len(column), d))
+    found[usable] = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, d)
+    holes = ~np.isfinite(found).all(axis=1)
+    found[holes] = 0.0
+    return found, usable & ~holes
+
+
+def _lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=1))
+
+
+def distances(v: np.ndarray, v_length: np.ndarray, q: np.ndarray, q_length: np.ndarray) -> np.ndarray:
+    """Cosine distance of rows to rows, infinite where a vector is zero.  Each is a
+    sum of its own, so that equal vectors have equal distances wherever they stand."""
+    size = v_length * q_length
+    return np.where(size > 0, 1.0 - np.divide((v * q).sum(axis=1), size, out=np.zeros_like(size), where=size > 0), np.inf)
+
+
+def question_blocks(questions: DataFrame, most: int = QUESTION_BYTES) -> Iterator[Questions]:
+    """A stated set as matrices of bounded size.  The entries of the first vector say
+    how many the others have."""
+    columns = ["query_id", "embedding", *(["lists"] if "lists" in questions.columns else [])]
+    first = questions.select(F.size("embedding").alias("d")).where("d > 0").first()
+    d = first["d"] if first else 1
+    n = max(1, -(-questions.count() * d * 8 // most))
+    for part in range(n):
+        rows = questions if n == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
+        held = rows.select(*columns).toArrow()
+        vectors, _ = matrix(held["embedding"], d)
+        lists = np.array(held["lists"].to_pylist(), int).reshape(len(vectors), -1) if "lists" in columns else None
+        yield Questions(held["query_id"].combine_chunks(), vectors, _lengths(vectors), lists)
+
+
+def _in_order(*keys: np.ndarray) -> np.ndarray:
+    """Places by the first key, then the next."""
+    return np.lexsort(keys[::-1])
+
+
+def _rank_of(ids: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of ids, which are numbers or texts; null is the smallest."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def _first_of_each(q: np.ndarray, n: int) -> np.ndarray:
+    """Which of some rows, in order of ``q``, are among the first ``n`` of theirs."""
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+    return np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) < n
+
+
+class _Best:
+    """The best rows of each question so far, with their other columns."""
+
+    def __init__(self, asked: Questions, k: int, id_col: str, exclude_self: bool):
+        self.asked, self.k, self.id_col, self.exclude_self = asked, k, id_col, exclude_self
+        self.worst = np.full(len(asked.ids), np.inf)
+        self.rows: pa.Table | None = None
+        self.q, self.far = np.zeros(0, int), np.zeros(0)
+
+    def _candidates(self, v: np.ndarray, lengths: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and questions (of ``who``) that may be among the best: by products of
+        matrices, within a slack that is decided later."""
+        found = []
+        unit = np.divide(v, lengths[:, None], out=np.zeros_like(v), where=lengths[:, None] > 0)
+        for at in range(0, len(who), BLOCK_QUESTIONS):
+            some = who[at : at + BLOCK_QUESTIONS]
+            q_length = self.asked.lengths[some]
+            q = np.divide(self.asked.vectors[some], q_length[:, None], out=np.zeros((len(some), v.shape[1])), where=q_length[:, None] > 0)
+            far = 1.0 - q @ unit.T
+            far[q_length == 0] = np.inf
+            far[:, lengths == 0] = np.inf
+            bound = self.worst[some]
+            if far.shape[1] > self.k:
+                bound = np.minimum(bound, np.partition(far, self.k, axis=1)[:, self.k])  # one more: a row may be the question's own
+            row = np.nonzero(far <= (bound + SLACK)[:, None])
+            found.append((row[1], some[row[0]]))
+        return np.concatenate([r for r, _ in found]), np.concatenate([q for _, q in found])
+
+    def add(self, batch: pa.RecordBatch, v: np.ndarray, who: np.ndarray) -> None:
+        """Take in rows that the questions ``who`` are asked of."""
+        if not len(who) or not batch.num_rows:
+            return
+        lengths = _lengths(v)
+        # Of equal vectors only the first few ids can be among the best.
+        order = _in_order(*_same(v), _rank_of(batch[self.id_col]))
+        kept = np.sort(order[_first_of_each(_groups(v[order]), self.k + 1)])
+        row, q = self._candidates(v[kept], lengths[kept], who)
+        row = kept[row]
+        if self.exclude_self:
+            other = pc.fill_null(pc.not_equal(batch[self.id_col].take(pa.array(row)), self.asked.ids.take(pa.array(q)).cast(batch[self.id_col].type)), False).to_numpy(zero_copy_only=False)
+            row, q = row[other], q[other]
+        far = distances(v[row], lengths[row], self.asked.vectors[q], self.asked.lengths[q])
+        fresh = pa.Table.from_batches([batch]).take(pa.array(row))
+        rows = fresh if self.rows is None else pa.concat_tables([self.rows, fresh])
+        q, far = np.concatenate([self.q, q]), np.concatenate([self.far, far])
+        order = _in_order(q, far, _rank_of(rows[self.id_col]))
+        order = order[_first_of_each(q[order], self.k)]
+        self.rows, self.q, self.far = rows.take(pa.array(order)).combine_chunks(), q[order], far[order]
+        last = np.flatnonzero(np.bincount(self.q, minlength=len(self.worst)) >= self.k)
+        ends = np.cumsum(np.bincount(self.q, minlength=len(self.worst)))
+        self.worst[last] = self.far[ends[last] - 1]
+
+    def table(self, names: list[str]) -> list[pa.RecordBatch]:
+        if self.rows is None:
+            return []
+        far = pa.array(self.far, mask=np.isinf(self.far))
+        columns = [self.asked.ids.take(pa.array(self.q)), *(self.rows[c] for c in names), far]
+        return pa.table(columns, names=["query_id", *names, "distance"]).to_batches()
+
+
+def _same(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two numbers that equal vectors share, and hardly any others."""
+    bits = np.ascontiguousarray(v + 0.0).view(np.uint64)
+    with np.errstate(over="ignore"):
+        odd = np.arange(1, 2 * v.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        mixed = (bits ^ (bits >> np.uint64(29))) * odd
+        return mixed.sum(axis=1, dtype=np.uint64), (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64)
+
+
+def _groups(v: np.ndarray) -> np.ndarray:
+    """A number for each run of equal rows."""
+    return np.cumsum(np.r_[False, (v[1:] != v[:-1]).any(axis=1)]) if len(v) else np.zeros(0, int)
+
+
+def search_pass(rows: DataFrame, asked: Questions, k: int, id_col: str, exclude_self: bool) -> DataFrame:
+    """The best rows of each task for each question; of its lists alone if it names some."""
+    names = [c for c in rows.columns if c not in ("embedding", "list")]
+    schema = T.StructType([T.StructField("query_id", from_arrow_type(asked.ids.type)), *(rows.schema[c] for c in names), T.StructField("distance", T.DoubleType())])
+    held = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions = held.value
+        best = _Best(questions, k, id_col, exclude_self)
+        everyone = np.arange(len(questions.ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                v, _ = matrix(part["embedding"], questions.vectors.shape[1])
+                if questions.lists is None:
+                    best.add(part.select([*names]), v, everyone)
+                    continue
+                lists = part["list"].to_numpy(zero_copy_only=False)
+                for one in np.unique(lists):
+                    own = np.flatnonzero(lists == one)
+                    best.add(part.select([*names]).take(pa.array(own)), v[own], np.flatnonzero((questions.lists == one).any(axis=1)))
+        yield from best.table(names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def top_k(
@@ -40,27 +214,20 @@ def top_k(
     where: Column | None = None,
     id_col: str = "chunk_id",
     exclude_self: bool = False,
-    block_size: int = ASKED_A_BLOCK,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``collection`` (``id_col, embedding, ...``) for each
     of ``questions`` (``query_id, embedding``): ``query_id``, the row, ``distance``
     and ``rank``.  ``where`` filters before the search; ties go to the smaller id.
+
+    Exact: products of matrices choose who may be among the best, and a distance of
+    its own decides.  A null or zero vector, or one of another length, is at no
+    distance and comes last.  Questions that share an id share a ranking.
     """
     rows = collection if where is None else collection.where(where)
-    kept = [c for c in rows.columns if c != "embedding"]
-    side = rows.select(*kept, F.col("embedding").alias("_v"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("_n"))
-    asked = questions.select("query_id", F.col("embedding").alias("_q"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
-
-    def search(block: DataFrame) -> DataFrame:
-        met = side.crossJoin(F.broadcast(block))
-        if exclude_self:
-            met = met.where(F.col(id_col) != F.col("query_id"))
-        far = 1.0 - _dot(F.col("_v"), F.col("_q")) / F.nullif(F.col("_n") * F.col("_qn"), F.lit(0.0))
-        measured = met.select("query_id", *kept, far.alias("distance"))
-        order = [F.col("distance").asc_nulls_last(), F.col(id_col).asc()]
-        return top_per_group(measured, ["query_id"], order, k)
-
-    return reduce(DataFrame.unionByName, map(search, in_blocks(asked, "query_id", block_size)))
+    passes = [search_pass(rows, asked, k, id_col, exclude_self) for asked in question_blocks(questions, question_bytes)]
+    order = [F.col("distance").asc_nulls_last(), F.col(id_col).asc()]
+    return top_per_group(reduce(DataFrame.unionByName, passes), ["query_id"], order, k)
 
 
 def over_fetch(hits: DataFrame, keep: Column, k: int = TOP_K) -> DataFrame:

@@ -132,6 +132,7 @@ ORACLE_SQL = {
     "vector_topk_prefilter": f"{_HITS} ({_near(5, 'label BETWEEN 2 AND 5')})",
     "vector_topk_postfilter": f"""{_HITS} (SELECT query_id, chunk_id, label, distance, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
       FROM ({_near(40)}) WHERE label >= 5) WHERE rank <= 5""",
+    "vector_index_recall": f"SELECT count(*) AS hits, true AS most, true AS every FROM ({_near(5)})",
     "paper_rank_from_chunks": f"SELECT query_id, doc_id, rank, first_chunk_rank FROM ({_PAPERS})",
     "rrf_fusion": f"{_FUSED_ROWS} ({_RRF})",
     "weighted_fusion": f"{_FUSED_ROWS} ({_WEIGHTED})",
@@ -265,15 +266,26 @@ def _decided(pool: str) -> str:
         WINDOW w AS (PARTITION BY k ORDER BY hard DESC, conf DESC, place DESC, pos)) WHERE nth = 1"""
 
 
+def _one_by_one(n: int) -> str:
+    """The names of a paper, judged in their order: each may find joint works with the first two resolved before it."""
+    parts = ["done0 AS (SELECT 0 AS k, 0 AS author, '' AS status, 0.0::DOUBLE AS conf WHERE false)"]
+    for i in range(n):
+        parts += [
+            f"""probed{i} AS (SELECT c.k, o.author, row_number() OVER (PARTITION BY c.k ORDER BY o.k) AS nth
+              FROM c JOIN done{i} o ON o.status = 'mapped' AND o.k // 4 = c.p WHERE c.k % 4 = {i})""",
+            f"""pool{i} AS (SELECT * REPLACE (joint OR (NOT byline AND EXISTS (FROM probed{i} o JOIN pairs ON (a = pool.x AND b = o.author) OR (b = pool.x AND a = o.author)
+              WHERE o.k = pool.k AND nth <= 2)) AS joint) FROM pool WHERE k % 4 = {i})""",
+            f"done{i + 1} AS (FROM done{i} UNION ALL ({_decided(f'FROM pool{i}')}))",
+        ]
+    return ",\n  ".join(parts)
+
+
 ORACLE_SQL["resolve_by_evidence"] = f"""WITH c AS (SELECT DISTINCT c_custkey AS k, c_custkey // 4 AS p FROM customer),
   pool AS (SELECT k, p, pos, 2 * k + pos AS x, k % 5 = 0 AND pos = 1 AS byline, k % 5 = 1 AND pos = 1 AS title,
       EXISTS (FROM c o WHERE o.k = xor(c.k, 1)) AND CASE WHEN pos = 1 THEN k % 5 = 2 ELSE xor(k, 1) % 5 = 2 END AS joint,
       pos = 0 AND k % 5 >= 3 AND EXISTS (FROM c o WHERE o.p = c.p AND o.k <> c.k AND o.k % 5 >= 3) AS place,
       CASE WHEN pos = 0 THEN 0.8571 WHEN k % 5 = 0 THEN 0.6667 WHEN k % 5 = 1 THEN 0.7692 ELSE 0.8148 END AS base
     FROM c, (VALUES (0), (1)) v(pos)),
-  once AS ({_decided("FROM pool")}),
-  probed AS (SELECT c.k, o.author, row_number() OVER (PARTITION BY c.k ORDER BY o.k) AS nth FROM c JOIN once o ON o.status = 'mapped' AND o.k // 4 = c.p AND o.k <> c.k),
   pairs AS (SELECT 2 * k + 1 AS a, 2 * xor(k, 1) AS b FROM c WHERE k % 7 = 0),
-  again AS (SELECT * REPLACE (joint OR (NOT byline AND EXISTS (FROM probed o JOIN pairs ON (a = pool.x AND b = o.author) OR (b = pool.x AND a = o.author)
-    WHERE o.k = pool.k AND nth <= 2)) AS joint) FROM pool)
-  SELECT left(md5('n' || k), 16) AS query_name, 'A' || author AS author_id, round(conf, 4) AS confidence, status FROM ({_decided("FROM again")})"""
+  {_one_by_one(4)}
+  SELECT left(md5('n' || k), 16) AS query_name, 'A' || author AS author_id, round(conf, 4) AS confidence, status FROM done4"""

@@ -71,7 +71,7 @@ def test_blocks_of_questions_find_the_same(spark):
     rows = spark.range(40).select(F.col("id").alias("chunk_id"), F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding"))
     asked = rows.where("chunk_id < 9").withColumnRenamed("chunk_id", "query_id")
     whole = sorted(map(tuple, vectors.top_k(rows, asked, 3).select("query_id", "chunk_id", "rank").collect()))
-    assert sorted(map(tuple, vectors.top_k(rows, asked, 3, block_size=4).select("query_id", "chunk_id", "rank").collect())) == whole
+    assert sorted(map(tuple, vectors.top_k(rows, asked, 3, question_bytes=4 * 2 * 8).select("query_id", "chunk_id", "rank").collect())) == whole
 
 
 def test_zero_vectors_come_last(spark):
