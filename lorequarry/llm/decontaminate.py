@@ -71,26 +71,30 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n)), strict=False))
 
 
+class Parts:
+    """The words of an item's question and answer; one object for all its units."""
+
+    def __init__(self, text: str) -> None:
+        question, answer = question_and_answer(text)
+        self.bags = Counter(question), Counter(answer)
+        #: Whether no passage need hold them.
+        self.long = len(question) + len(answer) > UNIT
+
+
 @dataclass
 class Item:
     """One unit of a test item: its words, its terms with their shares of the unit's
-    own BM25 score, and the whole item's text where that is longer."""
+    own BM25 score, and the parts of the whole item."""
 
     item_id: object
     words: tuple[str, ...]
     terms: tuple[tuple[str, float], ...]
-    whole: str | None
+    parts: Parts
 
     @cached_property
     def grams(self) -> frozenset:
         return frozenset(shingles(list(self.words)))
 
-    @cached_property
-    def parts(self) -> tuple[Counter, Counter]:
-        """Question and answer."""
-        question, answer = question_and_answer(self.whole)
-        return Counter(question), Counter(answer)
-
 
 def units(text: str | None) -> list[list[str]]:
     """The words of an item as units of at most ``UNIT``; none for an empty text."""
@@ -198,6 +202,7 @@ def matches(index: BlockMaxIndex, text: str) -> list[Match]:
     best: dict[object, Match] = {}
     step = PASSAGE - UNIT
     whole_bag: Counter | None = None
+    shares: dict[Parts, list[float]] = {}
     for at in range(0, max(1, len(words) - UNIT), step):
         passage = words[at : at + PASSAGE]
         hits = index.search(set(passage))
@@ -212,10 +217,13 @@ def matches(index: BlockMaxIndex, text: str) -> list[Match]:
                 overlap = float(any(tuple(passage[i : i + n]) == item.words for i in range(len(passage) - n + 1)))
             if overlap < MIN_SHINGLES:
                 continue
-            have = bag
-            if sum(map(sum, (p.values() for p in item.parts))) > UNIT:
-                have = whole_bag = Counter(words) if whole_bag is None else whole_bag
-            question, answer = (_share(part, have) for part in item.parts)
+            if item.parts.long:  # the same for all units of the item that stand in the document
+                if item.parts not in shares:
+                    whole_bag = Counter(words) if whole_bag is None else whole_bag
+                    shares[item.parts] = [_share(part, whole_bag) for part in item.parts.bags]
+                question, answer = shares[item.parts]
+            else:
+                question, answer = (_share(part, bag) for part in item.parts.bags)
             if question >= MIN_QUESTION and answer >= MIN_ANSWER:
                 found = Match(item.item_id, round(score, 12), overlap, question, answer)
                 held = best.get(item.item_id)
@@ -225,19 +233,23 @@ def matches(index: BlockMaxIndex, text: str) -> list[Match]:
 
 
 def weighed_units(benchmark: DataFrame) -> DataFrame:
-    """``item_id, text, words, terms``: each unit of each item, its terms with their
-    shares of the unit's own BM25 score, by the statistics of the whole benchmark.
+    """``item_id, item, unit, words, terms, text``: each unit of each item, its terms
+    with their shares of the unit's own BM25 score, by the statistics of the whole
+    benchmark.  ``text`` stands with an item's first unit only: words are shuffled under
+    a unit's number, so that an item costs in proportion to its length.
 
     Null ids and null or empty texts give none; repeated items count once.
     """
     rows = pick(benchmark, "item_id", "text").where("text is not null and item_id is not null").distinct()
     cut = F.udf(units, "array<array<string>>")
+    items = rows.select("item_id", "text", F.monotonically_increasing_id().alias("item"))
     made = spool(
-        rows.withColumn("units", cut("text")).select("item_id", "text", F.posexplode("units").alias("unit", "words")),
+        items.select("item_id", "item", "text", F.posexplode(cut("text")).alias("unit", "words"))
+        .select("item_id", "item", "unit", "words", F.when(F.col("unit") == 0, F.col("text")).alias("text")),
         "leak-units",
     )
     n, mean = made.agg(F.count("*"), F.avg(F.size("words"))).first()
-    keys = ["item_id", "text", "unit"]
+    keys = ["item", "unit"]
     counts = made.select(*keys, F.size("words").alias("n"), F.explode("words").alias("word")).groupBy(*keys, "n", "word").agg(F.count("*").alias("tf"))
     seen = counts.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -246,15 +258,17 @@ def weighed_units(benchmark: DataFrame) -> DataFrame:
     # At most ``UNIT`` terms meet in a unit.
     own = impacts.groupBy(*keys).agg(F.sum("x").alias("own"), F.sort_array(F.collect_list(F.struct("word", "x"))).alias("terms"))
     share = F.transform("terms", lambda t: F.struct(t["word"].alias("word"), (t["x"] / F.col("own")).alias("x")))
-    return made.join(own.select(*keys, share.alias("terms")), keys).select("item_id", "text", "unit", "words", "terms")
+    return made.join(own.select(*keys, share.alias("terms")), keys).select("item_id", *keys, "words", "terms", "text")
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[list[Item]]:
     """The units in blocks of at most ``INDEX_UNITS``, streamed to the driver."""
     held: list[Item] = []
-    ordered = spool(weighed_units(benchmark), "leak-weighed").orderBy("item_id", "text", "unit")
-    for row in ordered.toLocalIterator():
-        held.append(Item(row["item_id"], tuple(row["words"]), tuple((t[0], t[1]) for t in row["terms"]), row["text"]))
+    parts = Parts("")
+    for row in spool(weighed_units(benchmark), "leak-weighed").orderBy("item", "unit").toLocalIterator():
+        if row["unit"] == 0:
+            parts = Parts(row["text"])
+        held.append(Item(row["item_id"], tuple(row["words"]), tuple((t[0], t[1]) for t in row["terms"]), parts))
         if len(held) >= INDEX_UNITS:
             yield held
             held = []

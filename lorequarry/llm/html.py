@@ -10,10 +10,12 @@ whole; its containers are judged one by one.  So an article cut into several blo
 whole, and menus, adverts and notices, short or full of links, do not.
 
 Elements that are never article text (menus, headers, footers, sidebars, forms,
-scripts, styles) are left out from the start.  Class names, ids and roles decide
-nothing alone: the text of a container that is named like boilerplate counts as
-link text, which lowers its density, and a name on the path to the main text is
-taken for an unlucky one.
+scripts, styles) are left out from the start.  A class, id or role with a word for
+boilerplate in it is a hint: the container's text counts as link text when the main
+text is chosen, but within the main text it goes only if its density without that
+stays below the threshold too.  A few whole names (``comments``, ``advert``) say what
+a part is, and a part of such a name goes unless it holds the main text: a name on the path
+to that is taken for an unlucky one.
 """
 
 from __future__ import annotations
@@ -64,6 +66,11 @@ BOILERPLATE = frozenset(
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended pagination pager "
     "toolbar widget complementary contentinfo search alert disclaimer replies respond".split()
 )
+#: Whole names that leave no doubt.
+CERTAIN = frozenset(
+    "ad ads advert adverts advertisement sponsored comments comment-list comments-list comment-section comments-section comments-area reader-comments "
+    "user-comments disqus_thread sidebar cookie-notice cookie-banner cookie-consent cookie-bar cookienotice cookiebanner newsletter-signup".split()
+)
 #: Words that say of a part that it lacks, or lies beside, what the next word names.
 BESIDE = frozenset("no with without has non is not after before".split())
 #: Containers, whose names count; a name on a paragraph or a phrase does not.
@@ -87,31 +94,40 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("beside", "best", "chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
+    __slots__ = (
+        "beside", "best", "chars", "children", "density", "dropped", "link_chars", "link_tags", "named", "parent", "plain", "plain_chars", "plain_tags", "sum", "tag", "tags",
+    )
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool) -> None:
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: int) -> None:
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.beside = False
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.plain_chars = self.plain_tags = 0
+        self.density = self.sum = self.plain = 0.0
         self.best = self
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node) and not c.dropped]
 
 
-def _is_named(tag: str, attributes: str) -> bool:
+#: What the names of a container say: nothing, perhaps, for certain.
+UNNAMED, HINTED, SURE = 0, 1, 2
+
+
+def _naming(tag: str, attributes: str) -> int:
     """Whether a container's class, id or role names a part that is not the article."""
     if not attributes or tag not in NAMEABLE:
-        return False
+        return UNNAMED
+    found = UNNAMED
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for name in value.split():
+            if name.lower() in CERTAIN:
+                return SURE
             words = _WORD.findall(_CAMEL.sub(" ", name).lower())
             if any(w in BOILERPLATE and not BESIDE.intersection(words[:k]) for k, w in enumerate(words)):
-                return True
-    return False
+                found = HINTED
+    return found
 
 
 class _Open:
@@ -119,7 +135,7 @@ class _Open:
     that nothing open concerns is placed without a look at all of them."""
 
     def __init__(self) -> None:
-        self.root = Node("#root", None, False, False)
+        self.root = Node("#root", None, False, UNNAMED)
         self.stack = [self.root]
         self.count: Counter = Counter()
         #: Open paragraphs in each scope that an end of a paragraph cannot leave.
@@ -177,7 +193,7 @@ def parse(source: str) -> Node:
             top = held.stack[-1]
             # A page's header goes; an article's own header holds its title.
             dropped = tag in SKIPPED or tag == "header" and not (held.count["article"] or held.count["main"])
-            node = Node(tag, top, top.dropped or dropped, _is_named(tag, m[3] or ""))
+            node = Node(tag, top, top.dropped or dropped, _naming(tag, m[3] or ""))
             top.children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.IGNORECASE).search(source, at)
@@ -215,7 +231,7 @@ def measure(nodes: list[Node], body: Node) -> None:
     """Counts, densities, density sums, and the best node of each subtree, for
     ``nodes`` with parents first.  Text right in a node counts as a child without tags."""
     for node in nodes:
-        node.beside = node.named or node.parent is not None and node.parent.beside
+        node.beside = node.named != UNNAMED or node.parent is not None and node.parent.beside
     for node in reversed(nodes):
         kids = node.nodes()
         node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in kids)
@@ -225,9 +241,15 @@ def measure(nodes: list[Node], body: Node) -> None:
         else:
             node.link_chars = sum(c.link_chars for c in kids)
             node.link_tags = sum(c.link_tags for c in kids)
+        # The same, whatever containers are called.
+        if node.tag == "a":
+            node.plain_chars, node.plain_tags = node.chars, node.tags + 1
+        else:
+            node.plain_chars, node.plain_tags = sum(c.plain_chars for c in kids), sum(c.plain_tags for c in kids)
     body_links = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(nodes):
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, body_links)
+        node.plain = density(node.chars, node.tags, node.plain_chars, node.plain_tags, body_links)
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         links = own if node.tag == "a" or node.beside else 0
         node.sum = sum(c.density for c in node.nodes()) + density(own, 1, links, min(links, 1), body_links)
@@ -253,7 +275,7 @@ def main_nodes(root: Node) -> list[Node]:
         if not unlucky:
             break
         for n in unlucky:
-            n.named = False
+            n.named = UNNAMED
     if not densest.chars:
         return []
     threshold = min(n.density for n in path)
@@ -271,9 +293,9 @@ def main_nodes(root: Node) -> list[Node]:
             else:
                 stack.extend(reversed(node.nodes()))
     kept = [x for n in kept for x in (*_headings_of(n), n)]
-    # Within them, named containers that stay below the threshold go.
+    # Within them, containers go that are named for certain, or stay below the threshold without their name's weight.
     for n in nodes:
-        n.dropped = n.dropped or n.named and n.density < threshold
+        n.dropped = n.dropped or n.named != UNNAMED and n.density < threshold and (n.named == SURE or n.plain < threshold)
     return list(dict.fromkeys(kept))
 
 
