@@ -43,3 +43,4 @@ PRICES = {CHAT_MODEL: (0.15, 0.60), EMBED_MODEL: (0.02, 0.0)}
 
 ABSTAIN = "Bu bilgi verilen makalelerde yok."
 EMPTY_CATALOG = "(boş)"
+NO_HEADING = "(başlıksız)"

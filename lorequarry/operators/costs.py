@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.config import CHAT_MODEL, PRICES
@@ -82,3 +82,11 @@ def report(llm_log: DataFrame, embed_log: DataFrame) -> str:
 
 def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, a, b) for m, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
+
+
+def observed_statuses(rows: DataFrame, statuses: tuple[str, ...], counted: Observation, status: str = "status") -> DataFrame:
+    """``rows`` as they are; ``counted`` gets how many have each of some stated statuses,
+    and ``other``, from the pass that reads them."""
+    each = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
+    other = F.count_if(~F.coalesce(F.col(status).isin(*statuses), F.lit(False))).alias("other")
+    return rows.observe(counted, *each, other)

@@ -58,18 +58,19 @@ def close_pairs(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     ends = left.agg(F.floor(F.min("p") / wide).alias("from_length"), F.ceil(F.max("p") * wide).alias("to_length"))
     sized = texts.select("label", "tokens", long().alias("q")).where(F.size("tokens") > 0)
     right = sized.join(F.broadcast(ends), F.col("q").between(F.col("from_length"), F.col("to_length"))).select("label", "tokens", "q")
-    probes = left.select("query", "p", "asked_tokens", F.explode(bigrams(F.col("asked_tokens"))).alias("gram"))
-    index = right.select("label", "q", "tokens", F.explode(bigrams(F.col("tokens"))).alias("gram"))
-    counted = index.join(probes.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("texts"))
+    probes = left.select("query", "p", F.explode(bigrams(F.col("asked_tokens"))).alias("gram"))
+    # The part of the index that any question looks at, written once: it is counted, and then read.
+    grams = right.select("label", "q", F.explode(bigrams(F.col("tokens"))).alias("gram"))
+    index = spool(grams.join(probes.select("gram").distinct(), "gram", "left_semi"), "grams")
+    counted = index.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = Window.partitionBy("query").orderBy(F.coalesce("texts", F.lit(0)), "gram")
     fewest = F.col("p") + 2 - shared_at_least(F.col("p"), F.ceil(F.col("p") / wide), t)
     chosen = probes.join(counted, "gram", "left").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= fewest)
     p, q = F.col("p"), F.col("q")
     met = chosen.join(index, "gram").where((q <= F.ceil(p * wide)) & (p <= F.ceil(q * wide)))
-    # Aggregates, so that bags are compared once for a pair and not for each gram that it meets at.
-    pairs = met.groupBy("query", "label").agg(*(F.any_value(c).alias(c) for c in ("asked_tokens", "tokens", "p", "q")))
+    pairs = spool(met.select("query", "label").distinct(), "pairs-by-gram")
     both = F.size(F.array_intersect(bigrams(F.col("asked_tokens")), bigrams(F.col("tokens"))))
-    return pairs.where(both >= shared_at_least(p, q, t)).select("query", "label")
+    return pairs.join(left, "query").join(right, "label").where(both >= shared_at_least(p, q, t)).select("query", "label")
 
 
 def like_names(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -79,7 +80,7 @@ def like_names(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     blank ones are like nothing.
     """
     n = asked.select("query", folded(F.col("query")).alias("n")).where("n <> ''").distinct()
-    h = texts.select("label", folded(F.col("label")).alias("h")).where("h <> ''").distinct()
+    h = spool(texts.select("label").distinct().select("label", folded(F.col("label")).alias("h")).where("h <> ''"), "names")
     equal = n.join(h, F.col("n") == F.col("h")).select("query", "label")
     parts = h.select("label", F.explode(F.array_distinct(tier_tokens(F.col("h")))).alias("token"))
     token = n.join(parts, F.col("n") == F.col("token")).select("query", "label")
@@ -117,8 +118,8 @@ def like_titles(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """
     t = least - ROUNDING
     share = t / (2 - t)  # of the characters of a whole, so that 2 s / (s + whole) >= t
-    words = lambda df, c: df.select(c, F.array_distinct(tokens_of(F.col(c))).alias("tokens")).where(clean_text(F.col(c)) != "").distinct()
-    n, h = words(asked, "query"), words(texts, "label")
+    words = lambda df, c: df.select(c).distinct().where(clean_text(F.col(c)) != "").select(c, F.array_distinct(tokens_of(F.col(c))).alias("tokens"))
+    n, h = words(asked, "query"), spool(words(texts, "label"), "titles")
     some = lambda df, c, ts: df.select(c, F.explode(ts).alias("token"))
     mine = some(n, "query", _telling(F.col("tokens"), share)).join(some(h, "label", F.col("tokens")), "token")
     theirs = some(n, "query", F.col("tokens")).join(some(h, "label", _telling(F.col("tokens"), share)), "token")

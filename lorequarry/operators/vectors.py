@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
@@ -264,10 +264,13 @@ def collapse_to_papers(hits: DataFrame, n: int = VECTOR_CHUNKS) -> DataFrame:
 # --- the embedding cache ------------------------------------------------------
 
 
-def usable_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with a text and an id."""
+def usable_chunks(chunks: DataFrame, counted: Observation | None = None) -> DataFrame:
+    """Chunks with a text and an id.  ``counted`` gets ``chunks`` and ``dropped`` from the
+    pass that reads the result, as soon as that has ended."""
     filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    return chunks.where(filled("text") & filled("chunk_id"))
+    usable = filled("text") & filled("chunk_id")
+    seen = chunks if counted is None else chunks.observe(counted, F.count(F.lit(1)).alias("chunks"), F.count_if(~usable).alias("dropped"))
+    return seen.where(usable)
 
 
 def probe_cache(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:

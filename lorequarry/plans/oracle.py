@@ -215,6 +215,15 @@ ORACLE_SQL = {
       {_step('NULL::VARCHAR', 'false', 'c WHERE c.pos = 0')}
       UNION ALL {_step('w.last', 'w.seen', 'c JOIN walk w ON c.user_id = w.user_id AND c.pos = w.pos + 1')})
       SELECT user_id, pos, head, section FROM walk""",
+    "tei_papers": """WITH d AS (SELECT *, upper(coalesce(lang, 'xx')) || ' of ' || coalesce(source, 'nowhere') AS person,
+        CASE doc_id % 10 WHEN 0 THEN 'broken' WHEN 7 THEN 'empty' WHEN 5 THEN 'no header' ELSE 'ok' END AS status FROM documents)
+      SELECT 'P' || doc_id AS arxiv_id, status, CASE WHEN status = 'ok' THEN 'Paper ' || doc_id || ' & more' END AS title,
+        CASE WHEN status = 'ok' THEN person || '|Lab ' || doc_id % 7 END AS authors, CASE WHEN status = 'ok' THEN 'About ' || coalesce(n_chars, 0) || ' characters.' END AS abstract,
+        CASE WHEN status = 'ok' THEN 'First ' || doc_id || '.' || chr(10) || chr(10) || 'Second.' END AS introduction,
+        CASE WHEN status = 'ok' THEN 'How ' || doc_id || chr(10) || chr(10) || 'of it' || chr(10) || chr(10) || 'Headless.' END AS method,
+        CASE WHEN status = 'ok' THEN 'Related Work' END AS unmapped,
+        CASE WHEN status = 'ok' THEN 'b0|Main ' || doc_id % 5 || '|' || person || '|' || 2000 + doc_id % 20 || '|raw ' || doc_id ELSE '' END AS reference,
+        CASE WHEN status = 'ok' THEN 'in press' END AS second_year FROM d""",
     "html_extract": r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""",
     "paper_blob": """WITH t AS (SELECT conv_id, string_agg(DISTINCT role, ', ' ORDER BY role) AS authors,
@@ -244,6 +253,26 @@ ORACLE_SQL = {
         FROM gold g LEFT JOIN near n ON n.query_id = g.query_id AND n.label = g.label GROUP BY g.query_id) r ON r.query_id = q.query_id""",
 }
 
+ORACLE_SQL["merged_chunks"] = ORACLE_SQL["upsert_chunks"]
+
+ORACLE_SQL["ranked_signals"] = f"""SELECT query_id, doc_id, score, year, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, year DESC NULLS LAST, doc_id) AS rank FROM ({ORACLE_SQL["graph_signal_ranking"]})) WHERE rank <= 20"""
+
+
+def _stage_recall(stage: str, hits: str) -> str:
+    """Recall of a stage: gold is the question's own chunk, its label and the next."""
+    return f"""SELECT '{stage}' AS stage, query_id, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS b
+      FROM (SELECT query_id, mine AS label, false AS chunk FROM ({_QUESTIONS}) UNION ALL SELECT query_id, (mine + 1) % 10, false FROM ({_QUESTIONS})
+        UNION ALL SELECT query_id, NULL, true FROM ({_QUESTIONS})) g
+      LEFT JOIN (SELECT query_id, label, min(rank) AS rank FROM ({hits}) GROUP BY ALL) h USING (query_id, label) GROUP BY query_id"""
+
+
+ORACLE_SQL["evaluation_summary"] = f"""WITH recalls AS ({_stage_recall('naive', _near(10))} UNION ALL {_stage_recall('grobid', _near(10, 'label BETWEEN 2 AND 5'))}
+    UNION ALL {_stage_recall('hybrid', f"SELECT query_id, doc_id::INTEGER AS label, rank FROM ({_RRF}) WHERE rank <= 10")}),
+  scores AS (SELECT avg(CASE WHEN query_id % 3 < 2 THEN (mine % 5) / 4.0::DOUBLE ELSE 0 END) AS s FROM ({_QUESTIONS}))
+  SELECT stage, printf('%.4f', avg(a)) AS recall_at_5, printf('%.4f', avg(b)) AS recall_at_10, CASE WHEN stage = 'grobid' THEN 'n/a' ELSE printf('%.4f', any_value(s)) END AS faithfulness,
+    CASE WHEN stage = 'naive' THEN printf('%.4f', any_value(s)) ELSE 'n/a' END AS relevance, true AS timed FROM recalls, scores GROUP BY stage"""
+
 ORACLE_SQL["graph_nodes"] = f"""SELECT kind, id, name, aliases, institution, title, year FROM (
   SELECT kind, id, name, CASE WHEN kind = 'author' THEN aliases END AS aliases, institution, title, year FROM ({_NODES}))"""
 

@@ -7,14 +7,16 @@ a model answered is a table (``query_id, response``) that a cache may replay.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lorequarry.config import CANDIDATES, CONTEXT_PATHS, RECALL_KS, STAGE_HITS, STAGES, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions.text import clamp_score, content_key, extract_json_text, format_hits
 from lorequarry.operators import chunking, evaluate, filters, graph, ranking, vectors
+from lorequarry.scratch import spool
 from lorequarry.sources.services import call_service
 
 # The instructions that go before a question.
@@ -154,6 +156,31 @@ def run_stages(
     return {stage: runners[stage]() for stage in stages}
 
 
+def measured(stages: dict[str, DataFrame], questions: DataFrame) -> tuple[dict[str, DataFrame], dict[str, float], dict[str, int]]:
+    """Each stage's hits, written once, with the milliseconds that a question took and
+    how many hits there were: the writing itself is timed and counted."""
+    asked = max(1, questions.count())
+    hits, latency, counts = {}, {}, {}
+    for stage, found in stages.items():
+        seen = Observation()
+        began = time.perf_counter()
+        hits[stage] = spool(found.observe(seen, F.count(F.lit(1)).alias("hits")), f"stage-{stage}")
+        latency[stage] = 1000 * (time.perf_counter() - began) / asked
+        counts[stage] = seen.get["hits"]
+    return hits, latency, counts
+
+
+def judge_prompts(hits: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """``query_id, metric, request``: what a judge is asked of each answer (``query_id,
+    response``) to a question (``query_id, text``), with the ``TOP_K`` hits as passages."""
+    passages = context(hits.where(F.col("rank") <= TOP_K))
+    rows = questions.select("query_id", "text").join(answers.select("query_id", F.col("response").alias("answer")), "query_id").join(passages, "query_id", "left")
+    passage = F.coalesce("context", F.lit(""))
+    kinds = {"faithfulness": {"passages": passage, "answer": F.col("answer")}, "relevance": {"answer": F.col("answer")}}
+    asked = [rows.select("query_id", F.lit(kind).alias("metric"), prompt(kind, F.col("text"), **blocks).alias("request")) for kind, blocks in kinds.items()]
+    return asked[0].unionByName(asked[1])
+
+
 def author_paths(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``query_id, paths``: up to ``CONTEXT_PATHS`` paths from asked authors to papers."""
     asked = entities.where("author_name is not null").select("query_id", F.col("author_name").alias("query"))

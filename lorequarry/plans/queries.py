@@ -8,15 +8,17 @@ label is their paper.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.config import CHAT_MODEL, EMBED_MODEL, TOP_K, VECTOR_CHUNKS
 from lorequarry.functions import tei, text
 from lorequarry.operators import ann, chunking, costs, evaluate, filters, graph, ranking, resolve, vectors
 from lorequarry.plans import pipelines
-from lorequarry.scratch import once, spool
-from lorequarry.sources import readers, writers
+from lorequarry.scratch import new_path, once, spool
+from lorequarry.sources import buckets, readers, writers
 
 #: Every twentieth vector asks a question.
 ASKED = 20
@@ -371,6 +373,37 @@ def section_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select("user_id", F.posexplode("a").alias("pos", "d")).select("user_id", F.col("pos").cast("bigint").alias("pos"), "d.head", "d.section")
 
 
+def _tei(n: Column) -> Column:
+    """A paper in TEI, made of a document's id, language and source."""
+    t = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    person = t("<persName><forename>", F.upper(F.coalesce("lang", F.lit("xx"))), "</forename><surname>of ", F.coalesce("source", F.lit("nowhere")), "</surname></persName>")
+    header = t(
+        "<teiHeader><fileDesc><titleStmt><title>Paper  <hi>", n, "</hi>\n &amp; more</title></titleStmt><sourceDesc><biblStruct><analytic><author>", person,
+        "<affiliation>Lab ", n % 7, "</affiliation></author><author><note>nameless</note></author></analytic></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>About ",
+        F.coalesce("n_chars", F.lit(0)), " characters.</p></abstract></profileDesc></teiHeader>",
+    )
+    body = t(
+        "<text><body><div><head>1. Introduction</head><p>First ", n, ".</p><p>Second.</p></div><div><head>II. Odd <ref>things</ref></head><p>How ", n, "</p></div>",
+        "<div><head>A. Parts</head><p>of it</p></div><div><head>Related Work</head><p>Others.</p></div><div><p>Headless.</p></div></body>",
+        '<back><div><listBibl><biblStruct xml:id="b0"><analytic><title>Sub</title><title type="main">Main ', n % 5, "</title><author>", person, '</author></analytic><date when="',
+        2000 + n % 20, '-03-01"/><note type="raw_reference">raw ', n, "</note></biblStruct><biblStruct><title>Only</title><date>in press</date></biblStruct></listBibl></div></back></text>",
+    )
+    whole = t('<TEI xmlns="http://www.tei-c.org/ns/1.0">', F.when(n % 10 != 5, header).otherwise(""), body, "</TEI>")
+    return F.when(n % 10 == 0, F.substring(whole, F.lit(1), F.length(whole) - 9)).when(n % 10 == 7, F.lit(" ")).otherwise(whole)
+
+
+def tei_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers in TEI, some of them broken, blank or without a header."""
+    n = F.col("doc_id")
+    found = tei.read_tei(table(spark, sf_dir, "documents").select(F.concat(F.lit("P"), n).alias("arxiv_id"), _tei(n).alias("tei")))
+    first = F.get("references", F.lit(0))
+    return found.select(
+        "arxiv_id", "status", "title", F.array_join(F.transform("authors", lambda a: F.concat_ws("|", a["name"], a["affiliation"])), ";").alias("authors"), "abstract",
+        F.col("sections.introduction").alias("introduction"), F.col("sections.method").alias("method"), F.array_join("unmapped", "|").alias("unmapped"),
+        F.concat_ws("|", first["id"], first["title"], F.array_join(first["authors"], ","), first["year"], first["raw"]).alias("reference"), F.get("references", F.lit(1))["year"].alias("second_year"),
+    )
+
+
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and collapsed text of pages, by expressions."""
     html = F.col("html")
@@ -458,6 +491,46 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_at_k(gold, near)
 
 
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stages over the asked vectors, their hits written once, with judges' answers
+    of all forms that a model may give."""
+    near = lambda where=None: _nearest(spark, sf_dir, 10, where).select("query_id", "rank", F.concat(F.lit("c"), "chunk_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"))
+    fused = _fused(spark, sf_dir, "rrf").where("rank <= 10").select("query_id", "rank", F.concat("doc_id", F.lit("_graph")).alias("chunk_id"), "doc_id")
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ASKED == 0)
+    hits, latency, _ = pipelines.measured({"naive": near(), "grobid": near(F.col("label").between(2, 5)), "hybrid": fused}, asked)
+    own, following = F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string")
+    gold = asked.select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("c"), "vec_id")).alias("relevant_chunks"), F.array(own, following).alias("relevant_papers"))
+    score, n = F.concat(F.lit('{"score": '), (F.col("label") % 5 / 4).cast("string"), F.lit("}")), F.col("vec_id") % 3
+    said = F.when(n == 0, score).when(n == 1, F.concat(F.lit("I rate it\n```json\n"), score, F.lit("\n```"))).otherwise(F.lit("I cannot say"))
+    judged = [
+        asked.select(F.lit(stage).alias("stage"), F.col("vec_id").alias("query_id"), F.lit(metric).alias("metric"), said.alias("response"))
+        for stage in ("naive", "hybrid") for metric in ("faithfulness", "relevance") if (stage, metric) != ("hybrid", "relevance")
+    ]
+    found = pipelines.evaluate_stages(gold, hits, reduce(DataFrame.unionByName, judged), latency)
+    # How long it took is another figure each time; that it was measured is not.
+    return found.select("stage", "recall_at_5", "recall_at_10", "faithfulness", "relevance", (F.col("latency_ms").cast("double") > 0).alias("timed"))
+
+
+def ranked_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best papers of each question by graph signals, in order."""
+    nodes, edges = _stored_graph(spark, sf_dir)
+    scored = graph.rank_by_signals(_asked_entities(spark), nodes, edges)
+    best = ranking.top_per_group(scored, ["query_id"], ranking.graph_order("score", "year", "doc_id"), 20)
+    return best.select("query_id", "doc_id", "score", "year", F.col("rank").cast("bigint").alias("rank"))
+
+
+def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_chunks``, by merging into a table in buckets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    french = table(spark, sf_dir, "documents").where("lang = 'fr'")
+    again = french.select("doc_id", F.lit("rewritten").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+    fresh = french.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("new").alias("source"), "n_chars")
+    path = new_path(spark, "chunks")
+    buckets.merge(docs, path, "doc_id")
+    buckets.merge(again.unionByName(fresh), path, "doc_id")
+    return buckets.read(spark, path).select("doc_id", "source", "n_chars")
+
+
 def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as papers, with answers of an extractor that are fenced, lack a title or
     a list, or hold no object."""
@@ -500,7 +573,8 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_prefilter, vector_topk_postfilter, vector_topk_index, vector_index_recall, paper_rank_from_chunks, rrf_fusion, weighted_fusion, context_or_card, filtered_catalog,
         year_filtered_list, graph_nodes, graph_edges, graph_summary, author_papers, author_institution, papers_criticizing, coauthors, coauthor_paths, multi_hop,
-        graph_signal_ranking, name_match_tiered, token_sort_score, token_set_score, unique_names, resolve_entities, resolve_by_evidence, author_candidates, naive_chunks, merge_pieces, section_buckets,
-        html_extract, paper_blob, json_extract, entity_records, author_papers_or_note, cost_savings, status_counts, jsonl_tolerant, cache_probe, upsert_chunks, cost_report, recall_at_k,
+        graph_signal_ranking, name_match_tiered, token_sort_score, token_set_score, unique_names, resolve_entities, resolve_by_evidence, author_candidates, naive_chunks, merge_pieces, section_buckets, tei_papers,
+        html_extract, paper_blob, json_extract, entity_records, author_papers_or_note, cost_savings, status_counts, jsonl_tolerant, cache_probe, upsert_chunks, merged_chunks, cost_report, recall_at_k,
+        evaluation_summary, ranked_signals,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lorequarry.sources import buckets
 from lorequarry.sources.writers import upsert
 
 
@@ -35,6 +36,16 @@ def upsert_stream(stream: DataFrame, table_dir: str, checkpoint: str, key: str)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_stream(stream: DataFrame, table_dir: str, checkpoint: str, key: str, seq: str | None = None, n_buckets: int = buckets.BUCKETS) -> StreamingQuery:
+    """Merge each batch into a table in buckets: a batch costs the buckets that it
+    touches, and one that runs again changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        buckets.merge(batch, table_dir, key, seq, n_buckets, batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current_version(spark: SparkSession, table_dir: str, before: int | None = None) -> str | None:
     """The path of the last whole version (of those before a batch); None at first."""
     jvm = spark.sparkContext._jvm
