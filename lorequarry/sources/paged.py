@@ -40,13 +40,16 @@ class PagedReader(DataSourceReader):
         self.request: dict = {"query": options.get("query", "")}
 
     def partitions(self) -> list[Page]:
-        """The pages that the limit needs, the last for the rows that are left."""
-        return [Page(n, min(self.size, self.limit - n * self.size)) for n in range(-(-self.limit // self.size))]
+        """The pages that the limit needs, the last for the rows that are left; for none
+        one that nothing is asked for."""
+        return [Page(n, min(self.size, self.limit - n * self.size)) for n in range(-(-self.limit // self.size))] or [Page(0, 0)]
 
     def read(self, page: Page) -> Iterator[tuple]:
         """The rows of a page.  An error is followed by a pause and another attempt, and a
         service that asks its callers to slow down is waited for; when every attempt has
         failed, so has the task.  A page that came is followed by a pause as well."""
+        if not page.rows:
+            return
         for left in range(self.attempts - 1, -1, -1):
             try:
                 found = list(self.fetch(self.request, page.number, self.size))
