@@ -163,6 +163,22 @@ def find_authors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return direct.unionByName(match_names(rest, labels(nodes, "author")))
 
 
+def author_payload(nodes: DataFrame) -> DataFrame:
+    """``author_id, name, aliases, institution`` as an answer shows an author: the id for a
+    name that lacks, and no nulls."""
+    own = nodes.where("kind = 'author'")
+    none = F.array().cast("array<string>")
+    return own.select(
+        F.col("id").alias("author_id"), F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.coalesce("aliases", none).alias("aliases"), F.coalesce("institution", F.lit("")).alias("institution")
+    )
+
+
+def paper_payload(nodes: DataFrame) -> DataFrame:
+    """``paper_id, title, year`` as an answer shows a paper: the id for a title that lacks."""
+    own = nodes.where("kind = 'paper'")
+    return own.select(F.col("id").alias("paper_id"), F.coalesce(F.nullif("title", F.lit("")), "id").alias("title"), "year")
+
+
 # --- hops ---------------------------------------------------------------------
 
 

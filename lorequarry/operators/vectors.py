@@ -279,11 +279,20 @@ def probe_cache(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return keyed.join(cache.select("cache_key", "embedding").dropDuplicates(["cache_key"]), "cache_key", "left")
 
 
+def _by_index(answer: list) -> list:
+    """A service's vectors in the order asked for; none where an index lacks or repeats."""
+    if not answer or not isinstance(answer[0], tuple):
+        return answer
+    indexed = dict(answer)
+    return [indexed[i] for i in range(len(answer))] if indexed.keys() == set(range(len(answer))) else []
+
+
 def embed_missing(probed: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> DataFrame:
     """``cache_key, embedding`` for each distinct text that missed.
 
-    ``embed`` runs on the executors, on at most ``batch`` texts at a time; a batch
-    that returns another number of vectors is dropped.
+    ``embed`` runs on the executors, on at most ``batch`` texts at a time, and returns
+    vectors in order, or pairs of index and vector in any order; a batch that returns
+    another number of them, or not each index once, is dropped.
     """
     missing = probed.where("embedding is null").select("cache_key", "text").dropDuplicates(["cache_key"])
     arrow = pa.schema([("cache_key", pa.string()), ("embedding", pa.list_(pa.float32()))])
@@ -292,7 +301,7 @@ def embed_missing(probed: DataFrame, embed: Callable[[list[str]], list[list[floa
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                vectors = embed(part["text"].to_pylist())
+                vectors = _by_index(embed(part["text"].to_pylist()))
                 if len(vectors) == part.num_rows:
                     yield pa.RecordBatch.from_arrays([part["cache_key"], pa.array(vectors, arrow.field(1).type)], schema=arrow)
 
@@ -319,7 +328,7 @@ def collection_rows(chunks: DataFrame) -> DataFrame:
     """Chunks as rows of a collection: no null text, authors joined, year only if whole."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return chunks.select(
-        "chunk_id", F.col("text").alias("document"), "embedding", text("arxiv_id"), text("method"), text("source_file"), text("section"),
+        "chunk_id", F.coalesce("text", F.lit("")).alias("document"), "embedding", text("arxiv_id"), text("method"), text("source_file"), text("section"),
         F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "; ").alias("authors"),
         F.when(F.col("year").cast("string").rlike(r"^\d+$"), F.col("year").cast("string").try_cast("int")).alias("year"),
     )

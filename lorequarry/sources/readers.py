@@ -79,6 +79,36 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(is_pdf(F.col("content"))).select(stem_id(F.element_at(F.split("path", "/"), -1)).alias("arxiv_id"), "content")
 
 
+def download(papers: DataFrame, held: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
+    """``arxiv_id, status, content`` for each of ``papers`` (``arxiv_id, url``) that ``held``
+    (``arxiv_id, content``) has no content of.
+
+    ``fetch`` runs on the executors, once for each paper; its first url, if a paper has
+    several.  What is no PDF by its first bytes is ``no pdf``, what fails ``failed``, a
+    null url ``no url``, and none of these has content.
+    """
+    have = held.where(F.octet_length("content") > 0).select("arxiv_id").distinct()
+    todo = papers.join(have, "arxiv_id", "left_anti").groupBy("arxiv_id").agg(F.min("url").alias("url"))
+    schema = pa.schema([("arxiv_id", pa.string()), ("status", pa.string()), ("content", pa.binary())])
+
+    def one(url: str | None) -> tuple[str, bytes | None]:
+        if not url:
+            return "no url", None
+        try:
+            content = fetch(url)
+        except Exception:  # the service's own errors are not known here
+            return "failed", None
+        return ("ok", content) if content[:4].hex().upper() == PDF_MAGIC else ("no pdf", None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for paper, url in zip(batch["arxiv_id"].to_pylist(), batch["url"].to_pylist(), strict=True):
+                status, content = one(url)
+                yield pa.RecordBatch.from_arrays([pa.array([paper], pa.string()), pa.array([status]), pa.array([content], pa.binary())], schema=schema)
+
+    return todo.mapInArrow(run, "arxiv_id string, status string, content binary")
+
+
 def pdf_texts(pdfs: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
     """``arxiv_id, status, n_pages, text`` of ``pdf_files``: the texts of the pages,
     joined by line breaks.  ``pages_of`` is a PDF library's; a file that it cannot read
