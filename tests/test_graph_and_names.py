@@ -126,6 +126,9 @@ def test_joint_works_are_sought_with_resolved_peers(spark):
     bylines = spark.createDataFrame([], "arxiv_id string, pos int, author_id string, display_name string, raw_author_name string, institution string")
     titles = spark.createDataFrame([("p", "Title")], "arxiv_id string, title string")
     found = lambda pairs: {r.query_name: r.author_id for r in resolve.resolve(names, cand, bylines, titles, spark.createDataFrame(pairs, "a string, b string"))[0].collect()}
+    # Names are judged in the order in which they are first seen: the first has nobody resolved beside it.
+    assert found([("A1", "A5")]) == {"Ada Byron": "A1"}
+    names = spark.createDataFrame([("Cy Na", "p", 2), ("Ada Byron", "p", 1)], "query_name string, arxiv_id string, seq int")
     assert found([("A1", "A5")]) == {"Cy Na": "A5", "Ada Byron": "A1"}
     assert found([("A2", "A5")]) == {"Ada Byron": "A1"}
 
