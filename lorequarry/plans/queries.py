@@ -61,11 +61,11 @@ def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[ann.VectorIndex, int]:
-    """An inverted file of the vectors, and the probes that find nine tenths of the five
-    nearest, measured on other questions than those asked."""
+    """An inverted file of the vectors, and the probes that find 0.96 of the five nearest,
+    measured on other questions than those asked: few asked ones may lie some hundredths below."""
     index = ann.build_index(_collection(spark, sf_dir))
-    others = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ASKED == 1).select(F.col("vec_id").alias("query_id"), "embedding")
-    return index, ann.probes_for(index, others, 0.93, TOP_K, exclude_self=True)
+    others = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ASKED != 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return index, ann.probes_for(index, others, 0.96, TOP_K, exclude_self=True)
 
 
 def vector_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
