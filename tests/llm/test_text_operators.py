@@ -560,14 +560,14 @@ def test_lm_score_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
     found, made = {}, (lm.Lexicon.build, lm.train)
     monkeypatch.setattr(lm.Lexicon, "build", lambda *a: found.setdefault("lex", made[0](*a)))
-    monkeypatch.setattr(lm, "train", lambda *a: found.setdefault("model", made[1](*a)))
+    monkeypatch.setattr(lm, "train", lambda *a: found.setdefault("trained", made[1](*a)))
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     count = Counter()
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             count.update([*lm.words_of(t or ""), b""])
     for i, t in enumerate(texts):
-        assert math.isclose(got[i].score, slow_lm_score(found["model"], found["lex"], count, t or ""), rel_tol=1e-4)
+        assert math.isclose(got[i].score, slow_lm_score(found["trained"][0], found["lex"], count, t or ""), rel_tol=1e-4)
 
 
 def test_attention_gains_on_held_out_texts(spark):
