@@ -7,9 +7,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.config import (
@@ -80,44 +81,104 @@ def author_nodes(mentions: DataFrame) -> DataFrame:
     )
 
 
-def build(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from extracted entities, resolved authors and paper metadata.
+@dataclass
+class Parts:
+    """What nodes and edges are made of, written once.
 
-    ``entities``: ``arxiv_id, title, authors, methods_proposed, methods_criticized,
-    seq``; ``mapping``: ``query_name, author_id, institution, aliases``; ``papers``:
-    ``arxiv_id, year``.  A year is the metadata's, else the id's.  Names meet the
-    mapping by exact spelling after cleaning; the rest are left out.
+    ``base``: rows of papers with ``year``, distinct cleaned ``names``, and if a row is the
+    only one of its paper (``alone``); ``held``: the mapping to author ids, with names
+    that are an author's only one (``single``); ``mentions``: ``held`` with the ``seq`` at
+    which a name is first seen.
     """
+
+    base: DataFrame
+    held: DataFrame
+    mentions: DataFrame
+
+
+def parts_of(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> Parts:
+    """See ``build``."""
     years = papers.select(strip_version(F.col("arxiv_id")).alias("bare"), F.col("year").alias("known")).dropDuplicates(["bare"])
     base = (
         entities.where(F.trim(F.coalesce("arxiv_id", F.lit(""))) != "")
         .withColumn("bare", strip_version(F.col("arxiv_id")))
         .join(years, "bare", "left")
+        .withColumn("alone", F.count("*").over(Window.partitionBy("bare")) == 1)
         .withColumn("year", F.coalesce("known", year_from_paper_id(F.col("arxiv_id"))))
+        .withColumn("names", F.array_distinct(F.transform("authors", clean_text)))
+        .drop("authors", "known")
     )
-    base = spool(base, "graph-base")  # seven branches read it
-    paper = F.col("arxiv_id")
-    year_edges = base.where("year is not null").select(*edge("paper", paper, PUBLISHED, "year", F.col("year"), F.col("seq")))
+    held = mapping.where(F.col("author_id").startswith("A"))
+    for key in ("query_name", "author_id"):
+        held = held.withColumn(f"one_{key}", F.count("*").over(Window.partitionBy(key)) == 1)
+    base, held = spool(base, "graph-base"), spool(held.withColumn("single", F.col("one_query_name") & F.col("one_author_id")), "graph-names")
+    # Of equal mentions the first alone tells: names are counted once before they meet the mapping.
+    firsts = base.select("seq", F.explode("names").alias("query_name")).groupBy("query_name").agg(F.min("seq").alias("seq"))
+    return Parts(base, held, spool(firsts.join(held, "query_name"), "graph-mentions"))
+
+
+def edges_of(parts: Parts) -> DataFrame:
+    """Edges, each once.  What one row of a paper says is said once: only papers of
+    several rows, and authors of several names, are grouped."""
+    alone, several = parts.base.where("alone"), parts.base.where("not alone")
+    once = [*_said(alone), _wrote(alone, parts.held.where("single"))]
+    again = [_works_at(parts.mentions)]
+    if not parts.held.where("not single").isEmpty():
+        again.append(_wrote(alone, parts.held.where("not single")))
+    if not several.isEmpty():
+        again += [*_said(several), _wrote(several, parts.held)]
+    return spool(reduce(DataFrame.unionByName, [*once, distinct_edges(reduce(DataFrame.unionByName, again))]), "graph-edges")
+
+
+def nodes_of(parts: Parts, edges: DataFrame | None = None) -> DataFrame:
+    """Nodes.  Those that are ends of edges are read from ``edges`` if they are made."""
+    if edges is None:
+        edges = reduce(DataFrame.unionByName, [*_said(parts.base), _works_at(parts.mentions)])
+    ends = edges.where(F.col("dst_kind").isin("method", "institution", "year") & (F.coalesce("dst_id", F.lit("")) != ""))
+    others = ends.groupBy(F.col("dst_kind").alias("kind"), F.col("dst_id").alias("id")).agg(F.min("seq").alias("seq"))
+    authors = author_nodes(parts.mentions.select(F.col("author_id").alias("id"), F.col("query_name").alias("name"), "aliases", "institution", "seq"))
+    papers = parts.base.select(F.lit("paper").alias("kind"), F.col("arxiv_id").alias("id"), "title", "year", "seq", "alone")
+    kinds = [_as_nodes(papers.where("alone")), authors, _as_nodes(others)]
+    if not parts.base.where("not alone").isEmpty():
+        kinds.append(paper_nodes(papers.where("not alone").drop("kind")))
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def build(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from extracted entities, resolved authors and paper metadata.
+
+    ``entities``: ``arxiv_id, title, authors, methods_proposed, methods_criticized,
+    seq``; ``mapping``: ``query_name, author_id, institution, aliases``; ``papers``:
+    ``arxiv_id, year``.  A year is the metadata's, else the id's.  Names meet the
+    mapping by exact spelling after cleaning; the rest are left out.
+    """
+    parts = parts_of(entities, mapping, papers)
+    edges = edges_of(parts)
+    return nodes_of(parts, edges), edges
+
+
+def _works_at(mentions: DataFrame) -> DataFrame:
+    place = clean_text(F.col("institution"))
+    return mentions.where(place != "").select(*edge("author", F.col("author_id"), WORKS_AT, "institution", place, F.col("seq")))
+
+
+def _wrote(base: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges from authors to papers."""
+    named = base.select("arxiv_id", "seq", F.explode("names").alias("query_name"))
+    found = named.join(mapping.select("query_name", "author_id"), "query_name")
+    return found.select(*edge("author", F.col("author_id"), WROTE, "paper", F.col("arxiv_id"), F.col("seq")))
+
+
+def _said(base: DataFrame) -> list[DataFrame]:
+    """Edges from papers to years and methods, each once for each row."""
+    paper, seq = F.col("arxiv_id"), F.col("seq")
 
     def methods(column: str, relation: str) -> DataFrame:
         listed = base.select("arxiv_id", "seq", F.explode(distinct_ignoring_case(F.col(column))).alias("method"))
-        return listed.select(*edge("paper", paper, relation, "method", F.col("method"), F.col("seq")))
-
-    proposes, criticises = methods("methods_proposed", PROPOSES), methods("methods_criticized", CRITICISES)
-    named = base.select("arxiv_id", "seq", F.explode("authors").alias("raw")).withColumn("query_name", clean_text(F.col("raw")))
-    resolved = named.join(mapping.where(F.col("author_id").startswith("A")), "query_name")
-    wrote = resolved.select(*edge("author", F.col("author_id"), WROTE, "paper", paper, F.col("seq")))
-    works = resolved.where(clean_text(F.col("institution")) != "").select(
-        *edge("author", F.col("author_id"), WORKS_AT, "institution", clean_text(F.col("institution")), F.col("seq"))
-    )
-    edges = spool(distinct_edges(reduce(DataFrame.unionByName, [year_edges, proposes, criticises, wrote, works])), "graph-edges")
-    ends = lambda kind: edges.where(F.col("dst_kind") == kind).select(F.col("dst_id").alias("id"), "seq")
-    authors = author_nodes(resolved.select(F.col("author_id").alias("id"), F.col("query_name").alias("name"), "aliases", "institution", "seq"))
-    kinds = [
-        paper_nodes(base.select(paper.alias("id"), "title", "year", "seq")), authors,
-        simple_nodes("method", ends("method")), simple_nodes("institution", ends("institution")), simple_nodes("year", ends("year")),
-    ]
-    return reduce(DataFrame.unionByName, kinds), edges
+        return listed.select(*edge("paper", paper, relation, "method", F.col("method"), seq))
+
+    year = base.where("year is not null").select(*edge("paper", paper, PUBLISHED, "year", F.col("year"), seq))
+    return [year, methods("methods_proposed", PROPOSES), methods("methods_criticized", CRITICISES)]
 
 
 def unresolved_mentions(entities: DataFrame, mapping: DataFrame) -> DataFrame:
