@@ -302,16 +302,37 @@ def papers_criticising(methods: DataFrame, nodes: DataFrame, edges: DataFrame) -
     return first_per_key(rows, ["query", "paper_id"], order).join(_papers(nodes), "paper_id").select("query", "paper_id", "title", "year", "method_id", walked)
 
 
-def _shared_papers(authors: DataFrame, edges: DataFrame) -> DataFrame:
+def _all_wrote(edges: DataFrame) -> DataFrame:
+    """``coauthor_id, paper_id``; an edge is in the table once."""
+    return _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("coauthor_id"), F.col("dst_id").alias("paper_id"))
+
+
+def _asked_papers(authors: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The asked ids, each once, and ``author_id, paper_id`` of their papers.  Written, so
+    that few of them are known to be few before all edges are dealt out to meet them."""
+    ids = spool(authors.select("author_id").distinct(), "asked-authors")
+    mine = ids.join(_all_wrote(edges), F.col("author_id") == F.col("coauthor_id")).select("author_id", "paper_id")
+    return ids, spool(mine, "asked-papers")
+
+
+def _shared_papers(mine: DataFrame, edges: DataFrame) -> DataFrame:
     """``author_id, coauthor_id, paper_id``, each once."""
-    wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("coauthor_id"), F.col("dst_id").alias("paper_id")).distinct()
-    mine = authors.select("author_id").distinct().join(wrote, F.col("author_id") == F.col("coauthor_id")).select("author_id", "paper_id")
-    return mine.join(wrote, "paper_id").where(F.col("coauthor_id") != F.col("author_id")).select("author_id", "coauthor_id", "paper_id")
+    return mine.join(_all_wrote(edges), "paper_id").where(F.col("coauthor_id") != F.col("author_id")).select("author_id", "coauthor_id", "paper_id")
 
 
 def coauthors(authors: DataFrame, edges: DataFrame) -> DataFrame:
-    """``author_id, coauthor_id, papers``: others on the author's papers, and which."""
-    return _shared_papers(authors, edges).groupBy("author_id", "coauthor_id").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"))
+    """``author_id, coauthor_id, papers``: others on the author's papers, and which.
+
+    Two authors that are both asked for are met and grouped once, the smaller id first,
+    and told of each other afterwards.
+    """
+    ids, mine = _asked_papers(authors, edges)
+    both = ids.select(F.col("author_id").alias("coauthor_id"), F.lit(True).alias("both"))
+    others = _all_wrote(edges).join(both, "coauthor_id", "left")
+    met = mine.join(others, "paper_id").where((F.col("both").isNull() & (F.col("author_id") != F.col("coauthor_id"))) | (F.col("author_id") < F.col("coauthor_id")))
+    found = met.groupBy("author_id", "coauthor_id").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"), F.max("both").alias("both"))
+    one, other = (F.struct(F.col(a).alias("author_id"), F.col(b).alias("coauthor_id")) for a, b in (("author_id", "coauthor_id"), ("coauthor_id", "author_id")))
+    return found.select(F.explode(F.when(F.col("both"), F.array(one, other)).otherwise(F.array(one))).alias("p"), "papers").select("p.*", "papers")
 
 
 def coauthor_paths(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -319,16 +340,15 @@ def coauthor_paths(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     by each paper; ``name`` is the coauthor's, or the id where it has none."""
     names = nodes.where("kind = 'author'").select(F.col("id").alias("coauthor_id"), F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"))
     ends = [step("author", F.col("author_id")), F.lit(WROTE), step("paper", F.col("paper_id")), F.lit(WROTE), step("author", F.col("coauthor_id"))]
-    return _shared_papers(authors, edges).join(names, "coauthor_id").select("author_id", "coauthor_id", "name", "paper_id", path(*ends).alias("path"))
+    return _shared_papers(_asked_papers(authors, edges)[1], edges).join(names, "coauthor_id").select("author_id", "coauthor_id", "name", "paper_id", path(*ends).alias("path"))
 
 
 def coauthor_papers(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Two more hops: the papers that an author's coauthors wrote without the author."""
-    others = coauthors(authors, edges).select("author_id", "coauthor_id")
-    wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("coauthor_id"), F.col("dst_id").alias("paper_id")).distinct()
-    own = wrote.select(F.col("coauthor_id").alias("author_id"), "paper_id")
+    _, mine = _asked_papers(authors, edges)
+    others = spool(_shared_papers(mine, edges).select("author_id", "coauthor_id").distinct(), "coauthors")
     return (
-        others.join(wrote, "coauthor_id").join(own, ["author_id", "paper_id"], "left_anti")
+        others.join(_all_wrote(edges), "coauthor_id").join(mine, ["author_id", "paper_id"], "left_anti")
         .join(_papers(nodes), "paper_id").select("author_id", "coauthor_id", "paper_id", "title", "year")
     )
 

@@ -54,3 +54,12 @@ def test_edges_of_single_rows_are_not_grouped(spark):
     finally:
         graph.distinct_edges = graph_distinct
     assert seen == [{graph.WORKS_AT}]
+
+
+def test_coauthors_of_some_and_of_all(spark):
+    wrote = {"P1": ["A1", "A2", "A3"], "P2": ["A2", "A1"], "P3": ["A4"], "P4": ["A3", "A4"]}
+    edges = spark.createDataFrame([("author", a, graph.WROTE, "paper", p, 1) for p, who in wrote.items() for a in who], "src_kind string, src_id string, relation string, dst_kind string, dst_id string, seq bigint")
+    for asked in (["A1"], ["A2", "A3", "A2"], ["A1", "A2", "A3", "A4", "A9"]):
+        want = {(a, c): sorted(p for p, who in wrote.items() if a in who and c in who) for a in asked for c in ("A1", "A2", "A3", "A4") if a != c}
+        found = graph.coauthors(spark.createDataFrame([(a,) for a in asked], "author_id string"), edges).collect()
+        assert {(r.author_id, r.coauthor_id): r.papers for r in found} == {k: v for k, v in want.items() if v} and len(found) == len({(r.author_id, r.coauthor_id) for r in found})
