@@ -66,7 +66,10 @@ def parse_records(answers: DataFrame, papers: DataFrame) -> DataFrame:
     """Models' answers (``arxiv_id, response``) as rows for the graph; the title falls
     back to the paper's own (``arxiv_id, title``), and answers without JSON are left out."""
     known = papers.select("arxiv_id", F.col("title").alias("fallback"))
-    raw = answers.select("arxiv_id", extract_json_text(F.col("response")).alias("raw")).where("raw is not null").join(known, "arxiv_id", "left")
+    # Answers are few bytes for the work they make: they are dealt out to all tasks first.  Exploded, and not
+    # filtered, as a filter by what an expression gives would have it evaluated twice.
+    dealt = answers.select("arxiv_id", "response").repartition("arxiv_id")
+    raw = dealt.select("arxiv_id", F.explode(F.array_compact(F.array(extract_json_text(F.col("response"))))).alias("raw")).join(known, "arxiv_id", "left")
     record = filters.normalize_record(F.col("raw"), F.col("arxiv_id"), F.coalesce("fallback", F.lit("")))
     return raw.select(record.alias("r")).select("r.*")
 
