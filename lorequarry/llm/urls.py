@@ -9,6 +9,7 @@ are sure, and an inverted index from one token of each finds those that a URL ma
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,9 @@ from pyspark.sql import functions as F
 from lorequarry.llm.arrow import pick
 from lorequarry.scratch import spool
 
-BAD = "label=bad"
 MIN_CONFIDENCE = 0.8
 #: Bad labelled rows that must bear a rule, however many rows there are.
 MIN_COUNT = 5
-#: Kinds of tokens of one basket that are mined together, beside those that are sure alone.
-WIDEST = 12
 
 
 @dataclass(frozen=True)
@@ -112,7 +110,7 @@ def mine_rules(
     labelled: DataFrame,
     min_confidence: float = MIN_CONFIDENCE,
     min_count: int = MIN_COUNT,
-    widest: int = WIDEST,
+    widest: int | None = None,
 ) -> DataFrame:
     """``antecedent``, ``confidence``, ``support``, ``alternatives`` of rules that end in ``bad``.
 
@@ -122,10 +120,12 @@ def mine_rules(
     does.  ``alternatives`` has for each token of a rule those that stood in the same
     baskets, any of which will do.  No bad rows give no rules.
 
-    Growth is bounded: tokens of the same baskets are one item, a token that is sure
-    alone is in no larger set, and a basket of more than ``widest`` items that
-    are left is mined by those of them that are bad most often.  Sets found with such a
-    basket are then counted again over whole baskets, so that confidences are exact.
+    Only bad baskets are mined, whole, and what is found is counted over all baskets, so
+    that no rule is missed and confidences are exact.  Tokens of the same baskets are one
+    item, and a token that is sure alone is in no larger set.  There are as many sets
+    as five bad baskets share kinds of tokens: URLs that share many of them, none
+    sure alone, cost in proportion to 2 to the power of those.  A caller may set ``widest`` to
+    bound that: a basket of more kinds is then mined by those that are bad most often.
     """
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "antecedent array<string>, confidence double, support double, alternatives array<array<string>>")
@@ -148,40 +148,38 @@ def mine_rules(
         .select("bad", F.transform("ranked", lambda x: x["kind"]).alias("kinds")),
         "url-able",
     )
-    rows, longest = held.agg(F.count("*"), F.max(F.size("kinds"))).first()
+    rows = held.where("bad").count()
     if not rows:
         return alone
-    mark = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    items = held.select(F.concat(F.slice("kinds", 1, widest), mark).alias("items"))
+    kinds_of = F.col("kinds") if widest is None else F.slice("kinds", 1, widest)
+    items = held.where("bad").select(kinds_of.alias("items"))
     # FP-growth rounds the bar up to a count; half a row less keeps it at ``min_count``.
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / rows), minConfidence=min_confidence).fit(items)
-    sets = spool(model.freqItemsets, "url-itemsets")
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent"), F.col("freq").alias("both"))
-    if longest > widest:
-        counted = _recounted(with_bad, held)
-    else:
-        of = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("antecedent"), "freq")
-        counted = with_bad.join(of.hint("merge"), "antecedent")
+    sets = spool(model.freqItemsets.select(F.array_sort("items").alias("antecedent")), "url-itemsets")
     rules = spool(
-        counted.select("antecedent", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / n).alias("support"))
+        _recounted(sets, held).select("antecedent", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / n).alias("support"))
         .where(F.col("confidence") >= min_confidence),
         "url-rules",
     )
-    # A set is not the smallest if one without one of its tokens holds a rule: some chain of rules leads down to it.
-    smaller = rules.select("antecedent", F.explode(_subsets(F.col("antecedent"))).alias("sub"))
-    covered = smaller.join(rules.select(F.col("antecedent").alias("sub")).hint("merge"), "sub").select("antecedent").distinct()
-    least = rules.join(covered.hint("merge"), "antecedent", "left_anti")
+    least = _smallest(rules)
     members = left.groupBy("kind").agg(F.array_sort(F.collect_list("token")).alias("members"))
     named = least.select("antecedent", "confidence", "support", F.explode("antecedent").alias("kind")).join(members.hint("merge"), "kind")
     alternatives = F.array_sort(F.collect_list("members")).alias("alternatives")
     return alone.unionByName(named.groupBy("antecedent", "confidence", "support").agg(alternatives))
 
 
-def _subsets(items: Column) -> Column:
-    """All non-empty proper subsets of a short array, each in its order."""
-    one = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate(items, one, lambda done, x: F.concat(done, F.transform(done, lambda s: F.concat(s, F.array(x)))))
-    return F.filter(grown, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(items)))
+def _smallest(rules: DataFrame) -> DataFrame:
+    """The rules that hold no smaller one: those of the least size stay, all that hold one
+    of them go, and so on with what is left."""
+    found, size = [], F.size("antecedent")
+    while (k := rules.agg(F.min(size)).first()[0]) is not None:
+        found.append(rules.where(size == k))
+        firsts = found[-1].select(F.get("antecedent", F.lit(0)).alias("kind"), F.col("antecedent").alias("sub"))
+        later = rules.where(size > k)
+        met = later.select("antecedent", F.explode("antecedent").alias("kind")).join(firsts.hint("merge"), "kind")
+        covered = met.where(F.size(F.array_except("sub", "antecedent")) == 0).select("antecedent").distinct()
+        rules = spool(later.join(covered.hint("merge"), "antecedent", "left_anti"), "url-rules-left")
+    return reduce(DataFrame.unionByName, found) if found else rules
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
