@@ -58,7 +58,8 @@ def close_pairs(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     ends = left.agg(F.floor(F.min("p") / wide).alias("from_length"), F.ceil(F.max("p") * wide).alias("to_length"))
     sized = texts.select("label", "tokens", long().alias("q")).where(F.size("tokens") > 0)
     right = sized.join(F.broadcast(ends), F.col("q").between(F.col("from_length"), F.col("to_length"))).select("label", "tokens", "q")
-    probes = left.select("query", "p", F.explode(bigrams(F.col("asked_tokens"))).alias("gram"))
+    # Written, so that few of them are known to be few before all texts' are dealt out to meet them.
+    probes = spool(left.select("query", "p", F.explode(bigrams(F.col("asked_tokens"))).alias("gram")), "asked-grams")
     # The part of the index that any question looks at, written once: it is counted, and then read.
     grams = right.select("label", "q", F.explode(bigrams(F.col("tokens"))).alias("gram"))
     index = spool(grams.join(probes.select("gram").distinct(), "gram", "left_semi"), "grams")
@@ -79,7 +80,7 @@ def like_names(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     ``asked`` has ``query``, ``texts`` has ``label``; repeats count once, and null and
     blank ones are like nothing.
     """
-    n = asked.select("query", folded(F.col("query")).alias("n")).where("n <> ''").distinct()
+    n = spool(asked.select("query", folded(F.col("query")).alias("n")).where("n <> ''").distinct(), "asked-names")
     h = spool(texts.select("label").distinct().select("label", folded(F.col("label")).alias("h")).where("h <> ''"), "names")
     equal = n.join(h, F.col("n") == F.col("h")).select("query", "label")
     parts = h.select("label", F.explode(F.array_distinct(tier_tokens(F.col("h")))).alias("token"))
@@ -119,7 +120,7 @@ def like_titles(asked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     t = least - ROUNDING
     share = t / (2 - t)  # of the characters of a whole, so that 2 s / (s + whole) >= t
     words = lambda df, c: df.select(c).distinct().where(clean_text(F.col(c)) != "").select(c, F.array_distinct(tokens_of(F.col(c))).alias("tokens"))
-    n, h = words(asked, "query"), spool(words(texts, "label"), "titles")
+    n, h = spool(words(asked, "query"), "asked-titles"), spool(words(texts, "label"), "titles")
     some = lambda df, c, ts: df.select(c, F.explode(ts).alias("token"))
     mine = some(n, "query", _telling(F.col("tokens"), share)).join(some(h, "label", F.col("tokens")), "token")
     theirs = some(n, "query", F.col("tokens")).join(some(h, "label", _telling(F.col("tokens"), share)), "token")

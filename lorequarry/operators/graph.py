@@ -117,19 +117,39 @@ def parts_of(entities: DataFrame, mapping: DataFrame, papers: DataFrame) -> Part
     return Parts(base, held, spool(firsts.join(held, "query_name"), "graph-mentions"))
 
 
-def edges_of(parts: Parts) -> DataFrame:
+def edges_of(parts: Parts, wrote: bool = True) -> DataFrame:
     """Edges, each once.  What one row of a paper says is said once: only papers of
-    several rows, and authors of several names, are grouped."""
+    several rows, and authors of several names, are grouped.
+
+    A name that many authors share gives as many edges from each of its papers; without
+    ``wrote`` edges from authors to papers are not made, and ``papers_by`` finds those
+    of some authors.
+    """
     alone, several = parts.base.where("alone"), parts.base.where("not alone")
-    once = [*_said(alone), _wrote(alone, parts.held.where("single"))]
+    once = [*_said(alone), *([_wrote(alone, parts.held.where("single"))] if wrote else [])]
     again = [_works_at(parts.mentions)]
-    if not parts.held.where("not single").isEmpty():
+    if wrote and not parts.held.where("not single").isEmpty():
         again.append(_wrote(alone, parts.held.where("not single")))
     if not several.isEmpty():
-        again += [*_said(several), _wrote(several, parts.held)]
+        again += [*_said(several), *([_wrote(several, parts.held)] if wrote else [])]
     return spool(reduce(DataFrame.unionByName, [*once, distinct_edges(reduce(DataFrame.unionByName, again))]), "graph-edges")
 
 
+def papers_by(parts: Parts, authors: DataFrame) -> DataFrame:
+    """``query_id, paper_id, times``: for questions' ``authors`` (``query_id, id``), how many
+    of them wrote a paper.  Their names are counted first, so that a name meets its papers
+    once for a question, however many of the authors share it."""
+    asked = spool(authors.distinct(), "asked-authors").join(parts.held.select("author_id", "query_name").distinct(), F.col("id") == F.col("author_id"))
+    several = Window.partitionBy("query_id", "id")
+    named = spool(asked.select("query_id", "id", "query_name", (F.count("*").over(several) > 1).alias("several")), "asked-names")
+    papers = parts.base.select("arxiv_id", "alone", F.explode("names").alias("query_name"))
+    counted = named.where("not several").groupBy("query_id", "query_name").agg(F.count("*").alias("times"))
+    plain = papers.where("alone").join(counted, "query_name").select("query_id", F.col("arxiv_id").alias("paper_id"), "times")
+    # An author of several names, and a paper of several rows, may meet more than once.
+    again = papers.join(named, "query_name").where("several or not alone").select("query_id", "id", F.col("arxiv_id").alias("paper_id")).distinct()
+    return plain.unionByName(again.select("query_id", "paper_id", F.lit(1).cast("bigint").alias("times")))
+
+
 def nodes_of(parts: Parts, edges: DataFrame | None = None) -> DataFrame:
     """Nodes.  Those that are ends of edges are read from ``edges`` if they are made."""
     if edges is None:
@@ -356,38 +376,40 @@ def coauthor_papers(authors: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 # --- ranking by signals ---------------------------------------------------------
 
 
-def rank_by_signals(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def rank_by_signals(entities: DataFrame, nodes: DataFrame, edges: DataFrame, parts: Parts | None = None) -> DataFrame:
     """``query_id, doc_id, score, year`` for questions' entities.
 
     ``entities``: ``query_id, author_name, topic, method, year_min``.  Points add up
     over signals, and over authors and methods of a like name: an author's paper,
     a criticised or proposed method, a topic that names a method or a title.  Every
     signal is gated by year.  A question with a year alone gets all papers from it on.
+    With ``parts`` authors' papers are found by ``papers_by``, and ``edges`` may lack them.
+    A question's year goes along with its signals, so that nothing gathers by question.
     """
     papers = _papers(nodes)
 
     def asked(column: str, kept: Column) -> DataFrame:
-        return entities.where(F.col(column).isNotNull() & kept).select("query_id", F.col(column).alias("query"))
+        return entities.where(F.col(column).isNotNull() & kept).select("query_id", "year_min", F.col(column).alias("query"))
 
     def met(wanted: DataFrame, kind: str) -> DataFrame:
         """Like nodes of all names asked for, matched at once and written once."""
         return spool(wanted.join(match_names(wanted, labels(nodes, kind)), "query").drop("score", "seq"), "met")
 
-    wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("id"), F.col("dst_id").alias("paper_id"))
-    authors = met(asked("author_name", F.lit(True)), "author").join(wrote, "id").select("query_id", "paper_id", F.lit(AUTHOR_POINTS).alias("points"))
-    topics = asked("topic", F.col("method").isNull() | (F.lower("topic") != F.lower("method")))
+    by = met(asked("author_name", F.lit(True)), "author")
+    if parts is None:
+        wrote = _hop(edges, WROTE, "author", "paper").select(F.col("src_id").alias("id"), F.col("dst_id").alias("paper_id"))
+        authors = by.join(wrote, "id").select("query_id", "year_min", "paper_id", F.lit(AUTHOR_POINTS).alias("points"))
+    else:
+        bounds = asked("author_name", F.lit(True)).select("query_id", "year_min").distinct()
+        authors = papers_by(parts, by.select("query_id", "id")).join(F.broadcast(bounds), "query_id").select("query_id", "year_min", "paper_id", (AUTHOR_POINTS * F.col("times")).alias("points"))
+    topics = spool(asked("topic", F.col("method").isNull() | (F.lower("topic") != F.lower("method"))), "topics")
     wanted = asked("method", F.lit(True)).withColumn("as", F.lit("method")).unionByName(topics.withColumn("as", F.lit("topic")))
     about = edges.where(F.col("relation").isin(CRITICISES, PROPOSES) & (F.col("src_kind") == "paper") & (F.col("dst_kind") == "method"))
     worth = F.when(F.col("as") == "topic", TOPIC_METHOD_POINTS).when(F.col("relation") == CRITICISES, CRITICISES_POINTS).otherwise(PROPOSES_POINTS)
-    methods = met(wanted, "method").join(about, F.col("id") == F.col("dst_id")).select("query_id", F.col("src_id").alias("paper_id"), worth.alias("points"))
+    methods = met(wanted, "method").join(about, F.col("id") == F.col("dst_id")).select("query_id", "year_min", F.col("src_id").alias("paper_id"), worth.alias("points"))
     titles = like_titles(topics.select("query"), papers.select(F.col("title").alias("label")), TITLE_MIN).select("query", F.col("label").alias("title"))
-    titled = topics.join(titles, "query").join(papers, "title").select("query_id", "paper_id", F.lit(TOPIC_TITLE_POINTS).alias("points"))
-    signals = [authors, methods, titled]
-    bounds = entities.select("query_id", "year_min")
-    gated = (
-        reduce(DataFrame.unionByName, signals).join(papers, "paper_id").join(bounds, "query_id")
-        .where(year_ok(F.col("year"), F.col("year_min")))
-    )
+    titled = topics.join(spool(titles, "titles-met"), "query").join(papers, "title").select("query_id", "year_min", "paper_id", F.lit(TOPIC_TITLE_POINTS).alias("points"))
+    gated = reduce(DataFrame.unionByName, [authors, methods, titled]).join(papers, "paper_id").where(year_ok(F.col("year"), F.col("year_min")))
     by_year = entities.where("author_name is null and method is null and topic is null and year_min is not null").select("query_id", "year_min")
     fallback = meet(papers, by_year, "query_id").where("year >= year_min").select("query_id", "paper_id", "year", F.lit(YEAR_POINTS).alias("points"))
     every = gated.select("query_id", "paper_id", "year", "points").unionByName(fallback)
